@@ -59,7 +59,7 @@ class LogisticFit:
         return self.numeric + [f"{c}_{v}" for c in self.nominal for v in self.levels[c]]
 
     def coefficients(self) -> dict[str, float]:
-        return dict(zip(self.terms, self.model.coefficients.toArray().tolist()))
+        return dict(zip(self.terms, self.model.coefficients.toArray().tolist(), strict=True))
 
 
 def _scaled(df: DataFrame, scaling: Scaling, numeric: list[str]) -> DataFrame:
@@ -72,7 +72,8 @@ def fit_logistic(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
     """Minimise ``c * sum(log loss) + |w|^2 / 2`` with a free intercept.
 
     Spark averages the loss, so the same optimum needs ``regParam = 1/(c * n)``.
-    Levels are in alphabetical order; unseen ones encode as all zeros.
+    Levels are in alphabetical order. The indexer keeps one slot for unseen
+    levels and the encoder drops that slot, so an unseen level is all zeros.
     """
     scaling = fit_scaling(train, numeric)
     scaled = _scaled(train, scaling, numeric)
@@ -81,7 +82,7 @@ def fit_logistic(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
         handleInvalid="keep", stringOrderType="alphabetAsc")
     encode = OneHotEncoder(
         inputCols=index.getOutputCols(), outputCols=[f"_h_{x}" for x in nominal],
-        handleInvalid="keep", dropLast=True)
+        dropLast=True)
     indexer = index.fit(scaled)
     indexed = indexer.transform(scaled)
     one_hot = encode.fit(indexed)

@@ -46,13 +46,17 @@ def rank_statistics(ranked: DataFrame, group: str = "feature") -> DataFrame:
 
 
 def _asymptotic_p(u: Column, n_pos: Column, n_neg: Column, tie_term: Column) -> Column:
-    """Two-sided p by the normal approximation with tie and continuity correction."""
+    """Two-sided p by the normal approximation with tie and continuity correction.
+
+    Identical values everywhere carry no evidence (p = 1); an empty class
+    leaves the test undefined (NULL).
+    """
     product = n_pos.cast("double") * n_neg
     n = (n_pos + n_neg).cast("double")
     tie_share = F.try_divide(tie_term, n * (n - 1))
     variance = product / 12.0 * (n + 1 - tie_share)
     z = F.try_divide(F.greatest(u, product - u) - product / 2.0 - 0.5, F.sqrt(variance))
-    return F.when(variance > 0, normal_two_sided(z))
+    return F.when(variance > 0, normal_two_sided(z)).when(product > 0, F.lit(1.0))
 
 
 def effect_label(effect: Column) -> Column:
