@@ -276,12 +276,12 @@ def amount_zscore(s: Stages) -> DataFrame:
 
 @register
 def customer_activity(s: Stages) -> DataFrame:
-    return rounded(behaviour.customer_activity(s.standardised))
+    return rounded(s.activity)
 
 
 @register
 def customer_features(s: Stages) -> DataFrame:
-    joined = behaviour.customer_features(s.scorecard, behaviour.customer_activity(s.standardised))
+    joined = behaviour.customer_features(s.scorecard, s.activity)
     return rounded(joined.withColumn("reason_codes", F.array_join("reason_codes", "|")))
 
 

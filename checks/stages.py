@@ -15,6 +15,7 @@ from riskrank.functions.maths import logistic
 from riskrank.models.additive import Settings, fit_additive, score_additive
 from riskrank.models.logistic import fit_logistic, score_logistic
 from riskrank.operators import behaviour, evaluate, mapping, prepare, profile, scorecard, temporal
+from riskrank.operators.joins import hot_digests
 from riskrank.schemas import ADDITIVE, LOGISTIC, SCORECARD
 from riskrank.session import materialise
 from riskrank.sources import orders
@@ -86,10 +87,19 @@ class Stages:
     def standardised(self) -> DataFrame:
         return behaviour.standardise_amounts(self.events)
 
+    @cached_property
+    def hot_entities(self) -> dict[int, int]:
+        sides = temporal.participants(self.observation)
+        return hot_digests(sides, {"entity": ["entity_id"]})["entity"]
+
+    @property
+    def activity(self) -> DataFrame:
+        return behaviour.customer_activity(self.standardised, self.hot_entities)
+
     @cached_property
     def features(self) -> DataFrame:
-        return materialise(behaviour.customer_features(
-            self.scorecard, behaviour.customer_activity(self.standardised)), "features")
+        return materialise(
+            behaviour.customer_features(self.scorecard, self.activity), "features")
 
     @cached_property
     def frame(self) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskrank.functions.maths import share
-from riskrank.operators.counting import distinct_counts
-from riskrank.operators.joins import attach_dimension
+from riskrank.operators.joins import (
+    HotKeys, attach_dimension, hot_digests, lane_count, lane_of,
+)
 
 # Fixed value: fields whose texts, joined by "||", identify a transaction.
 ID_FIELDS = [
@@ -93,12 +94,22 @@ def standardise_amounts(events: DataFrame, statistics: DataFrame | None = None)
     })
 
 
-def _transaction_measures(events: DataFrame) -> DataFrame:
-    """Counts of distinct transactions per trait, plus z-score average and maximum.
+def customer_activity(events: DataFrame, hot: HotKeys | None = None,
+                      hex_ids: bool = True) -> DataFrame:
+    """The thirteen measures of every entity with at least one event.
 
-    Grouping by (entity, transaction) first spreads a hot entity over its
-    transactions and turns each filtered distinct count into a sum of flags.
+    The events cross the network once, hashed by entity; a hot entity is split
+    over lanes by transaction. On its partition every event becomes one row for
+    its transaction and one per counted dimension, so all distinct counts are
+    local groupings. What leaves the partition is a few subtotals per entity,
+    plus - for hot entities only - the distinct values of each lane, which
+    still have to be merged across lanes. ``hot`` takes the hot entities when a
+    cheaper frame can supply them; ``hex_ids`` packs the hexadecimal digests
+    of ``with_transaction_id`` to half their length, and must be off for ids of
+    any other form.
     """
+    if hot is None:
+        hot = hot_digests(events, {"entity": ["entity_id"]})["entity"]
     traits = {
         "outgoing_tx_count": F.col("direction") == "OUT",
         "incoming_tx_count": F.col("direction") == "IN",
@@ -106,31 +117,56 @@ def _transaction_measures(events: DataFrame) -> DataFrame:
         "cross_bank_tx_count": F.col("is_cross_bank") == 1,
         "self_transfer_tx_count": F.col("is_self_transfer") == 1,
     }
-    per_transaction = events.groupBy("entity_id", "transaction_id").agg(
-        *[F.max(F.when(test, 1).otherwise(0)).alias(name) for name, test in traits.items()],
-        F.sum("amount_zscore").alias("z_sum"),
-        F.count("amount_zscore").alias("z_count"),
-        F.max("amount_zscore").alias("z_max"),
-    )
-    return per_transaction.groupBy("entity_id").agg(
-        F.count("transaction_id").alias("transaction_count"),
-        *[F.sum(name).alias(name) for name in traits],
-        F.try_divide(F.sum("z_sum"), F.sum("z_count")).alias("average_amount_zscore"),
-        F.max("z_max").alias("maximum_amount_zscore"),
-    )
-
-
-def customer_activity(events: DataFrame) -> DataFrame:
-    """The thirteen measures of every entity with at least one event."""
+    bits = sum((F.when(test, 1 << i).otherwise(0) for i, test in enumerate(traits.values())),
+               F.lit(0))
     not_self = F.when(
         F.col("entity_id") != F.col("counterparty_entity_id"), F.col("counterparty_entity_id"))
-    dimensions = {
-        name: not_self if column == "other_party" else F.col(column)
-        for name, column in DISTINCT_COUNTS.items()
+    # Lane -1 holds a whole entity; hot entities use lanes 0 and up.
+    lanes = lane_count(["entity_id"], hot)
+    lane = F.when(lanes > 1, lane_of(["transaction_id"], lanes)).otherwise(F.lit(-1))
+    digest = F.unhex("transaction_id") if hex_ids else F.col("transaction_id").cast("binary")
+    placed = events.withColumns(
+        {"other_party": not_self, "bits": bits, "lane": lane, "tx": digest}
+    ).select("entity_id", "lane", "tx", "bits", "amount_zscore", *DISTINCT_COUNTS.values())
+    placed = placed.repartition("entity_id", "lane")
+
+    blank = {"bits": F.lit(0), "z": F.lit(None).cast("double")}
+    cells = [F.struct(F.lit(0).alias("slot"), F.col("tx").alias("value"),
+                      F.col("bits").alias("bits"), F.col("amount_zscore").alias("z"))]
+    cells += [
+        F.struct(F.lit(i).alias("slot"), F.col(c).cast("string").cast("binary").alias("value"),
+                 *[v.alias(n) for n, v in blank.items()])
+        for i, c in enumerate(DISTINCT_COUNTS.values(), start=1)
+    ]
+    distinct = (
+        placed.select("entity_id", "lane", F.inline(F.array(*cells)))
+        .filter((F.col("slot") == 0) | F.col("value").isNotNull())
+        .groupBy("entity_id", "lane", "slot", "value")
+        .agg(F.bit_or("bits").alias("bits"), F.sum("z").alias("z_sum"),
+             F.count("z").alias("z_count"), F.max("z").alias("z_max"))
+    )
+    # A transaction lies in one lane, so only dimension values of hot entities merge later.
+    merge_value = F.when((F.col("lane") >= 0) & (F.col("slot") > 0), F.col("value"))
+    flags = {
+        name: F.count_if(F.col("bits").bitwiseAND(1 << i) > 0) for i, name in enumerate(traits)}
+    totals = {"z_sum": F.sum, "z_count": F.sum, "z_max": F.max}
+    per_lane = distinct.withColumn("merge_value", merge_value).groupBy(
+        "entity_id", "lane", "slot", "merge_value"
+    ).agg(F.count(F.lit(1)).alias("n"), *[e.alias(c) for c, e in flags.items()],
+          *[f(c).alias(c) for c, f in totals.items()])
+    per_slot = per_lane.groupBy("entity_id", "slot", "merge_value").agg(
+        F.when(F.col("merge_value").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(c) for c in flags], *[f(c).alias(c) for c, f in totals.items()])
+    counted = {
+        name: F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0))
+        for i, name in enumerate(["transaction_count", *DISTINCT_COUNTS])
     }
-    # Both sides end hash-partitioned by entity_id: the join adds no exchange.
-    return _transaction_measures(events).join(
-        distinct_counts(events, "entity_id", dimensions), "entity_id")
+    return per_slot.groupBy("entity_id").agg(
+        *[e.alias(c) for c, e in counted.items()],
+        *[F.sum(c).alias(c) for c in flags],
+        F.try_divide(F.sum("z_sum"), F.sum("z_count")).alias("average_amount_zscore"),
+        F.max("z_max").alias("maximum_amount_zscore"),
+    ).select("entity_id", *MEASURES)
 
 
 def with_ratios(df: DataFrame) -> DataFrame:

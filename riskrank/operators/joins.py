@@ -2,71 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskrank.session import materialise
 
-LANES = 64
-HOT_SHARE = 1000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
-MAX_HOT_KEYS = 256  # sketch capacity; also the bound on the broadcast hot list
+HOT_SHARE = 4000  # no more than HOT_SHARE keys can each hold over 1/HOT_SHARE of the rows
+SKETCH_ITEMS = 20_000
+SKETCH_GROUPS = 512  # partial sketches merge in this many tasks before the last one
+
+HotKeys = dict[int, int]  # key hash -> number of lanes
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Digests of the keys that hold more than ``1/HOT_SHARE`` of the rows.
+def hot_digests(df: DataFrame, keys: dict[str, list[str]]) -> dict[str, HotKeys]:
+    """Hashes of keys too large for one shuffle partition, with the lanes each one needs.
 
-    One pass with a mergeable frequent-items sketch, so nothing is shuffled but
-    sketches. At most ``MAX_HOT_KEYS`` rows come back. Being on the list only
-    decides where rows are joined, never whether.
+    A key is hot when it holds more rows than an average shuffle partition (but
+    not less than ``1/HOT_SHARE`` of all rows); it gets about two lanes per
+    average partition it would fill. One column-pruned pass with mergeable
+    frequent-items sketches, merged in two levels; at most ``HOT_SHARE``
+    numbers per key reach the driver. The answer only decides where rows are
+    processed: a key missed or listed wrongly changes speed, not results.
     """
-    digest = F.xxhash64(*keys)
-    present = df.dropna(subset=keys).select(digest.alias("digest"))
-    sketch = present.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.expr(f"approx_top_k(digest, {MAX_HOT_KEYS}, 10000)").alias("top"),
+    present = df.select(
+        (F.spark_partition_id() % SKETCH_GROUPS).alias("_part"),
+        *[F.when(_all_present(cols), F.xxhash64(*cols)).alias(name)
+          for name, cols in keys.items()],
     )
-    return (
-        sketch.select("total", F.inline("top"))
-        .filter(F.col("count") * HOT_SHARE > F.col("total"))
-        .select(F.col("item").alias("digest"), F.lit(True).alias("hot"))
+    sketches = present.groupBy("_part").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.expr(f"approx_top_k_accumulate({name}, {SKETCH_ITEMS})").alias(name) for name in keys],
     )
+    # Combining sketches of an empty input fails without a grouping key, hence the constant one.
+    merged = sketches.groupBy((F.col("_part") * 0).alias("_all")).agg(
+        F.sum("_rows").alias("_rows"),
+        *[F.expr(f"approx_top_k_combine({name}, {SKETCH_ITEMS})").alias(name) for name in keys],
+    ).select("_rows", *[
+        F.expr(f"approx_top_k_estimate({name}, {HOT_SHARE})").alias(name) for name in keys])
+    row = merged.first()
+    if row is None:
+        return {name: {} for name in keys}
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    floor = max(1.0 / HOT_SHARE, 1.0 / partitions)
+    found: dict[str, HotKeys] = {}
+    for name in keys:
+        shares = {top["item"]: top["count"] / row["_rows"] for top in row[name] or []
+                  if top["item"] is not None}
+        # Powers of two keep the number of different lane counts small.
+        found[name] = {digest: 1 << math.ceil(math.log2(max(2.0, 2.0 * part * partitions)))
+                       for digest, part in shares.items() if part > floor}
+    return found
+
+
+def _all_present(cols: list[str]) -> Column:
+    present = F.lit(True)
+    for c in cols:
+        present = present & F.col(c).isNotNull()
+    return present
+
+
+def lane_count(cols: list[str], hot: HotKeys) -> Column:
+    """Number of lanes of a row's key; 1 for a key that is not hot."""
+    digest, count = F.xxhash64(*cols), F.lit(1)
+    for lanes in sorted(set(hot.values())):
+        members = [d for d, n in hot.items() if n == lanes]
+        count = F.when(digest.isin(members), lanes).otherwise(count)
+    return count
+
+
+def lane_of(content: list[str], lanes: Column | int) -> Column:
+    """A lane in ``[0, lanes)`` by content: a re-run task sends a row to the same place."""
+    count = F.lit(lanes) if isinstance(lanes, int) else lanes
+    return F.pmod(F.xxhash64(*content), count).cast("int")
 
 
 def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
-                     hot: DataFrame | None = None, lanes: int = LANES) -> DataFrame:
-    """Left equi-join with hot keys of the left side split over ``lanes`` sub-keys.
+                     hot: HotKeys | None = None) -> DataFrame:
+    """Left equi-join with the hot keys of the left side split over lanes.
 
     ``on`` pairs left and right columns; the right key columns are dropped from
     the result. The right rows of a hot key are repeated once per lane; all
     other keys stay in lane 0 and are shuffled as they are. Rows with a NULL
-    key cannot match, so they are spread over all lanes as well. The lane of a
-    row is a hash of its content: a re-run task sends it to the same place.
-    ``hot`` may be passed when an earlier, cheaper frame has the same keys.
+    key cannot match, so they are spread over as many lanes as there are
+    partitions. ``hot`` may be passed when a cheaper frame has the same keys.
     """
     left_keys = [l for l, _ in on]
     right_keys = [r for _, r in on]
     if hot is None:
-        hot = hot_keys(left, left_keys)
-    no_key = F.lit(False)
-    for key in left_keys:
-        no_key = no_key | F.col(key).isNull()
-
-    content_lane = F.pmod(F.xxhash64(*left.columns), F.lit(lanes)).cast("int")
-    spread = (
-        left.withColumn("_digest", F.xxhash64(*left_keys))
-        .join(F.broadcast(hot.withColumnRenamed("digest", "_digest")), "_digest", "left")
-        .withColumn("_lane", F.when(no_key | F.col("hot"), content_lane).otherwise(F.lit(0)))
-        .drop("_digest", "hot")
-    )
-    every_lane = F.sequence(F.lit(0), F.lit(lanes - 1))
-    copies = (
-        right.withColumn("_digest", F.xxhash64(*right_keys))
-        .join(F.broadcast(hot.withColumnRenamed("digest", "_digest")), "_digest", "left")
-        .withColumn("_right_lane", F.explode(
-            F.when(F.col("hot"), every_lane).otherwise(F.array(F.lit(0)))))
-        .drop("_digest", "hot")
-        .withColumnsRenamed({r: f"_key_{i}" for i, r in enumerate(right_keys)})
-    )
+        hot = hot_digests(left, {"joined": left_keys})["joined"]
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = F.when(_all_present(left_keys), lane_count(left_keys, hot)).otherwise(
+        F.lit(partitions))
+    spread = left.withColumn("_lane", lane_of(left.columns, lanes))
+    copies = right.withColumn("_right_lane", F.lit(0))
+    if hot:
+        last = lane_count(right_keys, hot) - 1
+        copies = right.withColumn("_right_lane", F.explode(F.sequence(F.lit(0), last)))
+    copies = copies.withColumnsRenamed({r: f"_key_{i}" for i, r in enumerate(right_keys)})
     matches = F.col("_lane") == F.col("_right_lane")
     for i, key in enumerate(left_keys):
         matches = matches & (F.col(key) == F.col(f"_key_{i}"))

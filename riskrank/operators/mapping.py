@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskrank.functions.keys import canonical_account, canonical_bank, trimmed
 from riskrank.functions.maths import percent
 from riskrank.operators.counting import distinct_counts
-from riskrank.operators.joins import hot_keys, spread_left_join
+from riskrank.operators.joins import hot_digests, spread_left_join
 
 TIME_FORMAT = "yyyy/MM/dd HH:mm"
 ACCOUNT_KEY = ["bank_id", "account_number"]
@@ -90,21 +90,24 @@ def customer_accounts(raw_accounts: DataFrame, check: bool = True) -> DataFrame:
 
 
 def enrich_transactions(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Attach the owning entity of both accounts; unmatched transactions stay."""
+    """Attach the owning entity of both accounts; unmatched transactions stay.
+
+    One pass over the bare transactions finds the hot accounts of both roles.
+    """
+    sides = {"sender": "from", "receiver": "to"}
+    keys = {role: [f"{side}_bank_id", f"{side}_account"] for role, side in sides.items()}
+    hot = hot_digests(transactions, keys)
     enriched = transactions
-    for role, side in (("sender", "from"), ("receiver", "to")):
+    for role in sides:
         owners = accounts.select(
             F.col("bank_id").alias("owner_bank"),
             F.col("account_number").alias("owner_account"),
             F.col("entity_id").alias(f"{role}_entity_id"),
             F.col("entity_name").alias(f"{role}_entity_name"),
         )
-        keys = [f"{side}_bank_id", f"{side}_account"]
-        # Hot keys come from the bare transactions, so the second role does not
-        # repeat the first join to find them.
         enriched = spread_left_join(
-            enriched, owners, list(zip(keys, ["owner_bank", "owner_account"])),
-            hot=hot_keys(transactions, keys))
+            enriched, owners, list(zip(keys[role], ["owner_bank", "owner_account"])),
+            hot=hot[role])
     return enriched
 
 

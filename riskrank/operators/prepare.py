@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskrank.functions.keys import hash_number
 from riskrank.functions.maths import clip, finite_or
+from riskrank.operators.joins import attach_dimension
 from riskrank.operators.ranked import running_totals, value_counts
 from riskrank.schemas import MODEL_NUMERIC, PROFILE_ATTRIBUTES, TESTED_NUMERIC, UNBOUNDED
 
@@ -47,15 +48,18 @@ def stratified_split(frame: DataFrame, key: str = "entity_id", label: str = "fut
     hashed = frame.withColumn("_draw", hash_number(key, seed, algo))
     ordered = running_totals(
         value_counts(hashed, label, "_draw", {"n": F.lit(1)}), label, "_draw", ["n"])
-    edge, picked = 0.0, F.lit(shares[-1][0])
-    edges = []
-    for name, part in shares[:-1]:
-        edge += part
-        edges.append((round(edge, 9), name))
-    for upper, name in reversed(edges):
-        picked = F.when(F.col("n_before") < F.col("n_total") * F.lit(upper), name).otherwise(picked)
-    places = ordered.select(label, "_draw", picked.alias("split"))
-    return hashed.join(places, [label, "_draw"]).drop("_draw")
+    edges, reached = [], 0.0
+    for i, (_, part) in enumerate(shares[:-1]):
+        reached = round(reached + part, 9)
+        beyond = F.col("n_before") >= F.col("n_total") * F.lit(reached)
+        edges.append(F.min(F.when(beyond, F.col("_draw"))).alias(f"_edge_{i}"))
+    # Two cut points per class come back, so the frame itself is never shuffled.
+    placed = attach_dimension(hashed, ordered.groupBy(label).agg(*edges), label)
+    picked = F.lit(shares[-1][0])
+    for i in reversed(range(len(edges))):
+        edge = F.col(f"_edge_{i}")
+        picked = F.when(edge.isNull() | (F.col("_draw") < edge), shares[i][0]).otherwise(picked)
+    return placed.withColumn("split", picked).select(*frame.columns, "split")
 
 
 def split_summary(split: DataFrame, label: str = "future_aml_event") -> DataFrame:

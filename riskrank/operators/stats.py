@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskrank.functions.maths import chi_square_tail, normal_two_sided
 from riskrank.operators.ranked import quantile_columns, running_totals, value_counts
+from riskrank.operators.joins import attach_dimension
 from riskrank.schemas import TESTED_CATEGORICAL, TESTED_NUMERIC
+from riskrank.session import materialise
 
 
 def median_comparison(features: DataFrame, columns: list[str] = TESTED_NUMERIC,
@@ -109,17 +111,17 @@ def chi_square_from_counts(table: DataFrame) -> DataFrame:
     """Chi-square independence test and Cramer's V per feature of a contingency table.
 
     A 2 x 2 table gets the continuity correction, bounded so that a cell is
-    never moved past its expectation. Windows run over table cells, not rows
-    of data.
+    never moved past its expectation. Margins are grouped and attached, so a
+    feature with many levels is not gathered in one task.
     """
-    per_feature = Window.partitionBy("feature")
-    row = F.col("negatives") + F.col("positives")
-    margins = table.select(
-        "feature", "negatives", "positives", row.cast("double").alias("row_sum"),
-        *[F.sum(c).over(per_feature).cast("double").alias(f"all_{c}")
-          for c in ("negatives", "positives")],
-        F.count(F.lit(1)).over(per_feature).alias("levels"),
-    ).withColumn("n", F.col("all_negatives") + F.col("all_positives"))
+    stored = materialise(table, "contingency")
+    by_feature = stored.groupBy("feature").agg(
+        *[F.sum(c).cast("double").alias(f"all_{c}") for c in ("negatives", "positives")],
+        F.count(F.lit(1)).alias("levels"))
+    margins = attach_dimension(stored, by_feature, "feature").withColumns({
+        "row_sum": (F.col("negatives") + F.col("positives")).cast("double"),
+        "n": F.col("all_negatives") + F.col("all_positives"),
+    })
     classes = sum((F.when(F.col(f"all_{c}") > 0, 1).otherwise(0)
                    for c in ("negatives", "positives")), F.lit(0))
     dof = (F.col("levels") - 1) * (classes - 1)

@@ -15,6 +15,7 @@ from riskrank.models.additive import Settings, fit_additive, score_additive
 from riskrank.models.logistic import fit_logistic, score_logistic
 from riskrank.operators import behaviour, evaluate, mapping, prepare, profile, scorecard, stats
 from riskrank.operators import decide, temporal
+from riskrank.operators.joins import hot_digests
 from riskrank.session import materialise
 from riskrank.sources.files import read_table, write_table
 from riskrank.sources.orders import Windows
@@ -66,8 +67,9 @@ def build_features(accounts_raw: DataFrame, transactions_raw: DataFrame, windows
         "customer_scorecard", scorecard.score_customers(t["customer_profiles"]))
     # Features read the observation window only: nothing of the outcome can leak in.
     events = behaviour.standardise_amounts(behaviour.directional_events(observation))
+    hot = hot_digests(temporal.participants(observation), {"entity": ["entity_id"]})["entity"]
     t["customer_features"] = keep("customer_features", behaviour.customer_features(
-        t["customer_scorecard"], behaviour.customer_activity(events)))
+        t["customer_scorecard"], behaviour.customer_activity(events, hot)))
     return t
 
 
