@@ -98,14 +98,15 @@ def customer_activity(events: DataFrame, hot: HotKeys | None = None,
                       hex_ids: bool = True) -> DataFrame:
     """The thirteen measures of every entity with at least one event.
 
-    The events cross the network once, hashed by entity; a hot entity is split
-    over lanes by transaction. On its partition every event becomes one row for
-    its transaction and one per counted dimension, so all distinct counts are
-    local groupings. What leaves the partition is a few subtotals per entity,
-    plus - for hot entities only - the distinct values of each lane, which
-    still have to be merged across lanes. ``hot`` takes the hot entities when a
-    cheaper frame can supply them; ``hex_ids`` packs the hexadecimal digests
-    of ``with_transaction_id`` to half their length, and must be off for ids of
+    The events cross the network once, hashed by entity. On its partition every
+    event becomes one row for its transaction and one per counted dimension, so
+    all distinct counts are local groupings and end in one row per entity.
+
+    A hot entity is split over lanes by transaction. Each lane then sends a few
+    subtotals and its distinct dimension values, which still have to be merged
+    across lanes. ``hot`` takes the hot entities when a cheaper frame can
+    supply them; ``hex_ids`` packs the hexadecimal digests of
+    ``with_transaction_id`` to half their length, and must be off for ids of
     any other form.
     """
     if hot is None:
@@ -121,49 +122,52 @@ def customer_activity(events: DataFrame, hot: HotKeys | None = None,
                F.lit(0))
     not_self = F.when(
         F.col("entity_id") != F.col("counterparty_entity_id"), F.col("counterparty_entity_id"))
-    # Lane -1 holds a whole entity; hot entities use lanes 0 and up.
-    lanes = lane_count(["entity_id"], hot)
-    lane = F.when(lanes > 1, lane_of(["transaction_id"], lanes)).otherwise(F.lit(-1))
     digest = F.unhex("transaction_id") if hex_ids else F.col("transaction_id").cast("binary")
-    placed = events.withColumns(
-        {"other_party": not_self, "bits": bits, "lane": lane, "tx": digest}
-    ).select("entity_id", "lane", "tx", "bits", "amount_zscore", *DISTINCT_COUNTS.values())
-    placed = placed.repartition("entity_id", "lane")
+    prepared = events.withColumns({"other_party": not_self, "bits": bits, "tx": digest})
+    home = ["entity_id"]
+    if hot:
+        home = ["entity_id", "lane"]
+        prepared = prepared.withColumn("lane", lane_of(["tx"], lane_count(["entity_id"], hot)))
+    placed = prepared.select(
+        *home, "tx", "bits", "amount_zscore", *DISTINCT_COUNTS.values()).repartition(*home)
 
-    blank = {"bits": F.lit(0), "z": F.lit(None).cast("double")}
     cells = [F.struct(F.lit(0).alias("slot"), F.col("tx").alias("value"),
                       F.col("bits").alias("bits"), F.col("amount_zscore").alias("z"))]
     cells += [
         F.struct(F.lit(i).alias("slot"), F.col(c).cast("string").cast("binary").alias("value"),
-                 *[v.alias(n) for n, v in blank.items()])
+                 F.lit(0).alias("bits"), F.lit(None).cast("double").alias("z"))
         for i, c in enumerate(DISTINCT_COUNTS.values(), start=1)
     ]
     distinct = (
-        placed.select("entity_id", "lane", F.inline(F.array(*cells)))
+        placed.select(*home, F.inline(F.array(*cells)))
         .filter((F.col("slot") == 0) | F.col("value").isNotNull())
-        .groupBy("entity_id", "lane", "slot", "value")
+        .groupBy(*home, "slot", "value")
         .agg(F.bit_or("bits").alias("bits"), F.sum("z").alias("z_sum"),
              F.count("z").alias("z_count"), F.max("z").alias("z_max"))
     )
-    # A transaction lies in one lane, so only dimension values of hot entities merge later.
-    merge_value = F.when((F.col("lane") >= 0) & (F.col("slot") > 0), F.col("value"))
-    flags = {
-        name: F.count_if(F.col("bits").bitwiseAND(1 << i) > 0) for i, name in enumerate(traits)}
-    totals = {"z_sum": F.sum, "z_count": F.sum, "z_max": F.max}
-    per_lane = distinct.withColumn("merge_value", merge_value).groupBy(
-        "entity_id", "lane", "slot", "merge_value"
-    ).agg(F.count(F.lit(1)).alias("n"), *[e.alias(c) for c, e in flags.items()],
-          *[f(c).alias(c) for c, f in totals.items()])
-    per_slot = per_lane.groupBy("entity_id", "slot", "merge_value").agg(
-        F.when(F.col("merge_value").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"),
-        *[F.sum(c).alias(c) for c in flags], *[f(c).alias(c) for c, f in totals.items()])
+    subtotals = distinct.withColumns({
+        "n": F.lit(1),
+        **{name: F.shiftright("bits", i).bitwiseAND(1) for i, name in enumerate(traits)},
+    })
+    summed = ["n", *traits, "z_sum", "z_count"]
+
+    def fold(df: DataFrame, *keys) -> DataFrame:
+        return df.groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in summed], F.max("z_max").alias("z_max"))
+
+    if hot:
+        # A transaction lies in one lane, so only dimension values can repeat across lanes.
+        whole = F.when((lane_count(["entity_id"], hot) > 1) & (F.col("slot") > 0), F.col("value"))
+        subtotals = fold(subtotals.withColumn("whole", whole), *home, "slot", "whole")
+        subtotals = fold(subtotals, "entity_id", "slot", "whole").withColumn(
+            "n", F.when(F.col("whole").isNull(), F.col("n")).otherwise(1))
     counted = {
         name: F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0))
         for i, name in enumerate(["transaction_count", *DISTINCT_COUNTS])
     }
-    return per_slot.groupBy("entity_id").agg(
+    return subtotals.groupBy("entity_id").agg(
         *[e.alias(c) for c, e in counted.items()],
-        *[F.sum(c).alias(c) for c in flags],
+        *[F.sum(c).alias(c) for c in traits],
         F.try_divide(F.sum("z_sum"), F.sum("z_count")).alias("average_amount_zscore"),
         F.max("z_max").alias("maximum_amount_zscore"),
     ).select("entity_id", *MEASURES)

@@ -61,3 +61,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def use_all_slots(scan: DataFrame) -> DataFrame:
+    """Deal a scan's rows over all task slots when its files give fewer tasks than that.
+
+    A table in one small file would otherwise keep everything up to the next
+    shuffle on one core. Scans with enough splits, as any large table has, are
+    returned as they are.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskrank.session import use_all_slots
+
 CURRENCIES = ["USD", "EUR", "JPY", "GBP", "CNY"]
 LEGAL_FORMS = ["Corporation", "Partnership", "Sole Proprietorship"]
 
@@ -81,7 +83,9 @@ def accounts_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transactions_raw(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _table(spark, folder, "lineitem")
+    lines = use_all_slots(_table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_shipdate"))
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customers = _table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     suppliers = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
