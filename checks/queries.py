@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.stages import LOGISTIC, STAND_INS, Stages, stages
 from riskrank.models.additive import additive_contributions
-from riskrank.models.logistic import _scaled, fit_scaling, logistic_contributions
+from riskrank.models.logistic import scaled_inputs, fit_scaling, logistic_contributions
 from riskrank.operators import (
     audit, behaviour, decide, evaluate, explain, mapping, prepare, profile, scorecard, stats,
     temporal,
@@ -347,7 +347,7 @@ def standard_scaling(s: Stages) -> DataFrame:
 @register
 def one_hot_inputs(s: Stages) -> DataFrame:
     fit = s.logistic_fit
-    encoded = fit.encoder.transform(_scaled(s.frame, fit.scaling, fit.numeric))
+    encoded = fit.encoder.transform(scaled_inputs(s.frame, fit.scaling, fit.numeric))
     inputs = vector_to_array("_inputs")
     entries = F.array(*[
         F.struct(F.lit(name).alias("term"), inputs[i].alias("value"))

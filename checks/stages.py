@@ -55,8 +55,8 @@ class Stages:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return materialise(
-            mapping.enrich_transactions(self.transactions, self.accounts), "enriched")
+        joined = mapping.enrich_transactions(self.transactions, self.accounts)
+        return materialise(joined.sortWithinPartitions("transaction_date"), "enriched")
 
     @property
     def observation(self) -> DataFrame:

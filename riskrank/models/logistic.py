@@ -62,7 +62,8 @@ class LogisticFit:
         return dict(zip(self.terms, self.model.coefficients.toArray().tolist(), strict=True))
 
 
-def _scaled(df: DataFrame, scaling: Scaling, numeric: list[str]) -> DataFrame:
+def scaled_inputs(df: DataFrame, scaling: Scaling, numeric: list[str]) -> DataFrame:
+    """Add a standardised copy of every numeric input."""
     return df.withColumns({f"_z_{c}": scaling.column(c) for c in numeric})
 
 
@@ -76,7 +77,7 @@ def fit_logistic(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
     levels and the encoder drops that slot, so an unseen level is all zeros.
     """
     scaling = fit_scaling(train, numeric)
-    scaled = _scaled(train, scaling, numeric)
+    scaled = scaled_inputs(train, scaling, numeric)
     index = StringIndexer(
         inputCols=nominal, outputCols=[f"_i_{x}" for x in nominal],
         handleInvalid="keep", stringOrderType="alphabetAsc")
@@ -99,7 +100,7 @@ def fit_logistic(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
 def score_logistic(df: DataFrame, fit: LogisticFit,
                    output: str = "logistic_probability") -> DataFrame:
     """Add the probability of the positive class."""
-    encoded = fit.encoder.transform(_scaled(df, fit.scaling, fit.numeric))
+    encoded = fit.encoder.transform(scaled_inputs(df, fit.scaling, fit.numeric))
     scored = fit.model.transform(encoded)
     return scored.select(
         *[F.col(c) for c in df.columns], vector_to_array("probability")[1].alias(output))

@@ -73,9 +73,12 @@ def lane_count(cols: list[str], hot: HotKeys) -> Column:
 
 
 def lane_of(content: list[str], lanes: Column | int) -> Column:
-    """A lane in ``[0, lanes)`` by content: a re-run task sends a row to the same place."""
+    """A lane in ``[0, lanes)`` by content: a re-run task sends a row to the same place.
+
+    The content is only hashed where there is more than one lane.
+    """
     count = F.lit(lanes) if isinstance(lanes, int) else lanes
-    return F.pmod(F.xxhash64(*content), count).cast("int")
+    return F.when(count > 1, F.pmod(F.xxhash64(*content), count).cast("int")).otherwise(F.lit(0))
 
 
 def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
@@ -96,11 +99,12 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]
     lanes = F.when(_all_present(left_keys), lane_count(left_keys, hot)).otherwise(
         F.lit(partitions))
     spread = left.withColumn("_lane", lane_of(left.columns, lanes))
-    copies = right.withColumn("_right_lane", F.lit(0))
-    if hot:
-        last = lane_count(right_keys, hot) - 1
-        copies = right.withColumn("_right_lane", F.explode(F.sequence(F.lit(0), last)))
-    copies = copies.withColumnsRenamed({r: f"_key_{i}" for i, r in enumerate(right_keys)})
+    # Generated rather than a plain 0 where nothing is hot: a constant would be
+    # folded out of the join key, and NULL keys would meet in one partition again.
+    last = lane_count(right_keys, hot) - 1
+    copies = right.withColumn(
+        "_right_lane", F.explode(F.sequence(F.lit(0), last))
+    ).withColumnsRenamed({r: f"_key_{i}" for i, r in enumerate(right_keys)})
     matches = F.col("_lane") == F.col("_right_lane")
     for i, key in enumerate(left_keys):
         matches = matches & (F.col(key) == F.col(f"_key_{i}"))

@@ -70,14 +70,10 @@ def assert_unique_mapping(df: DataFrame, keys: list[str], value: str) -> None:
 
 
 def deduplicate(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: the smallest by the other columns, whatever the input order.
-
-    Exact copies are removed by a hash aggregate first; only what is left is
-    compared.
-    """
+    """One row per key: the smallest by the other columns, whatever the input order."""
     rest = [c for c in df.columns if c not in keys]
     smallest = F.min(F.struct(*rest)).alias("kept")
-    return df.distinct().groupBy(*keys).agg(smallest).select(
+    return df.groupBy(*keys).agg(smallest).select(
         *[F.col(c) if c in keys else F.col(f"kept.{c}") for c in df.columns])
 
 
@@ -157,8 +153,14 @@ def accounts_per_entity(accounts: DataFrame, top: int | None = 20) -> DataFrame:
 
 
 def entity_names(pairs: DataFrame, key: str = "entity_id", name: str = "entity_name") -> DataFrame:
-    """One name per entity: the smallest one, hence independent of row order."""
-    return pairs.select(key, name).distinct().groupBy(key).agg(F.min(name).alias(name))
+    """One name per entity: the smallest one, hence independent of row order.
+
+    Copies collapse in a hash aggregate first, because a minimum over strings
+    has to sort its input. The always-true filter on the count keeps that first
+    step: Spark drops a plain distinct below a minimum.
+    """
+    copies = pairs.groupBy(key, name).agg(F.count(F.lit(1)).alias("copies"))
+    return copies.filter(F.col("copies") > 0).groupBy(key).agg(F.min(name).alias(name))
 
 
 def entity_rollup(accounts: DataFrame) -> DataFrame:

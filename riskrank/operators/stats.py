@@ -35,16 +35,16 @@ def ranked_features(features: DataFrame, columns: list[str] = TESTED_NUMERIC,
     return running_totals(counts, "feature", "value", ["pos", "neg"])
 
 
-def rank_statistics(ranked: DataFrame, group: str = "feature") -> DataFrame:
-    """Mann-Whitney U of positives over negatives with tie term and class sizes."""
+def rank_columns() -> list[Column]:
+    """Aggregates over ranked rows: class sizes, Mann-Whitney U of positives, tie term."""
     ties = (F.col("pos") + F.col("neg")).cast("double")
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
-    return ranked.groupBy(group).agg(
+    return [
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
         F.sum(wins).alias("u_statistic"),
         F.sum(ties * ties * ties - ties).alias("tie_term"),
-    )
+    ]
 
 
 def _asymptotic_p(u: Column, n_pos: Column, n_neg: Column, tie_term: Column) -> Column:
@@ -73,13 +73,13 @@ def numeric_tests(features: DataFrame, columns: list[str] = TESTED_NUMERIC,
                   label: str = "future_aml_event") -> DataFrame:
     """Mann-Whitney test, exact class medians and rank-biserial effect per feature.
 
-    Test and medians read the same ranked table. Strongest effect first.
+    Test and medians come from one aggregate over the ranked values. Strongest
+    effect first.
     """
-    ranked = ranked_features(features, columns, label)
-    positive = quantile_columns("value", "pos", {"positive_median": 0.5})
-    negative = quantile_columns("value", "neg", {"negative_median": 0.5})
-    medians = ranked.groupBy("feature").agg(*positive, *negative)
-    tested = rank_statistics(ranked).join(medians, "feature")
+    tested = ranked_features(features, columns, label).groupBy("feature").agg(
+        *rank_columns(),
+        *quantile_columns("value", "pos", {"positive_median": 0.5}),
+        *quantile_columns("value", "neg", {"negative_median": 0.5}))
     effect = F.try_divide(
         F.col("u_statistic") * 2.0, F.col("n_pos").cast("double") * F.col("n_neg")) - 1
     p = _asymptotic_p(*[F.col(c) for c in ("u_statistic", "n_pos", "n_neg", "tie_term")])

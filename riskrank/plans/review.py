@@ -53,13 +53,17 @@ def build_features(accounts_raw: DataFrame, transactions_raw: DataFrame, windows
     """Everything up to one feature row per customer."""
     t: dict[str, DataFrame] = {}
     t["customer_accounts"] = keep("customer_accounts", mapping.customer_accounts(accounts_raw))
-    t["enriched_transactions"] = keep("enriched_transactions", mapping.enrich_transactions(
-        mapping.clean_transactions(transactions_raw), t["customer_accounts"]))
+    enriched = mapping.enrich_transactions(
+        mapping.clean_transactions(transactions_raw), t["customer_accounts"])
+    # Sorted inside each task, without a shuffle: row groups then cover few days
+    # and a date window skips most of them.
+    t["enriched_transactions"] = keep(
+        "enriched_transactions", enriched.sortWithinPartitions("transaction_date"))
     observation = temporal.within_dates(
         t["enriched_transactions"], windows.observation_start, windows.observation_end)
     outcome = temporal.within_dates(
         t["enriched_transactions"], windows.outcome_start, windows.outcome_end)
-    t["observation_transactions"] = observation
+    observation = t["observation_transactions"] = keep("observation_transactions", observation)
     t["customer_target"] = keep("customer_target", temporal.customer_target(observation, outcome))
     t["customer_profiles"] = profile.customer_profiles(
         t["customer_accounts"], t["customer_target"], algo)

@@ -114,3 +114,10 @@ def test_daily_profile_counts_unmatched_rows(enriched, rows):
     daily = rows(audit.daily_profile(enriched), "transaction_date", "transactions",
                  "laundering_transactions", "sender_entities", "receiver_entities")
     assert [r[1:] for r in daily] == [(1, 0, 1, 1), (1, 1, 1, 1), (1, 1, 0, 1), (1, 0, 0, 1)]
+
+
+def test_names_are_reduced_by_hash_before_any_sort(spark):
+    pairs = spark.range(50).selectExpr("'E' || (id % 7) entity_id", "'n' || id entity_name")
+    plan = mapping.entity_names(pairs)._jdf.queryExecution().executedPlan().toString()
+    lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    assert "HashAggregate" in lowest

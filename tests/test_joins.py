@@ -67,3 +67,11 @@ def test_attach_dimension_broadcasts_small_and_survives_large(skewed, dimension,
     assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
     columns = ["id", "k", "k2", "v"]
     assert rows(broadcast, *columns) == rows(spread, *columns)
+
+
+def test_null_keys_spread_even_without_hot_keys(skewed, dimension):
+    plan = joins.spread_left_join(
+        skewed, dimension, [("k", "d"), ("k2", "d2")], hot={})._jdf.queryExecution()
+    text = plan.optimizedPlan().toString()
+    join = next(line for line in text.splitlines() if "Join LeftOuter" in line)
+    assert "_lane" in join and "_right_lane" in join
