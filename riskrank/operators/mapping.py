@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskrank.functions.keys import canonical_account, canonical_bank, trimmed
@@ -12,6 +12,7 @@ from riskrank.operators.joins import hot_digests, spread_left_join
 
 TIME_FORMAT = "yyyy/MM/dd HH:mm"
 ACCOUNT_KEY = ["bank_id", "account_number"]
+ROLES = ["sender", "receiver"]
 
 
 def clean_accounts(raw: DataFrame) -> DataFrame:
@@ -107,36 +108,51 @@ def enrich_transactions(transactions: DataFrame, accounts: DataFrame) -> DataFra
     return enriched
 
 
-def mapping_summary(enriched: DataFrame) -> DataFrame:
-    """Coverage of the mapping: volume, unmatched sides, entities, time range, match rates.
+def by_role(transactions: DataFrame, *kept: str) -> DataFrame:
+    """Two rows per transaction, one per role, with the entity in that role and ``kept``.
 
-    Rows are pre-aggregated per (sender, receiver) so that the two exact
-    distinct counts run over entity pairs instead of transactions.
+    Grouping these by (role, entity) turns exact distinct entity counts into
+    row counts, and combines on the map side.
     """
-    pairs = enriched.groupBy("sender_entity_id", "receiver_entity_id").agg(
+    roles = F.array(*[
+        F.struct(F.lit(role).alias("role"), F.col(f"{role}_entity_id").alias("entity"))
+        for role in ROLES
+    ])
+    return transactions.select(*kept, F.inline(roles))
+
+
+def role_counts(count: str = "n") -> dict[str, Column]:
+    """Aggregates over (role, entity) rows: all transactions and entities per role."""
+    known = F.col("entity").isNotNull()
+    rows = F.when(F.col("role") == ROLES[0], F.col(count)).otherwise(0)
+    return {"transactions": F.coalesce(F.sum(rows), F.lit(0))} | {
+        role: F.count_if(known & (F.col("role") == role)) for role in ROLES}
+
+
+def mapping_summary(enriched: DataFrame) -> DataFrame:
+    """Coverage of the mapping: volume, unmatched sides, entities, time range, match rates."""
+    per_entity = by_role(enriched, "transaction_timestamp").groupBy("role", "entity").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("transaction_timestamp").alias("first_seen"),
         F.max("transaction_timestamp").alias("last_seen"),
     )
+    counts = role_counts()
     unmatched = {
-        f"unmatched_{role}s": F.coalesce(
-            F.sum(F.when(F.col(f"{role}_entity_id").isNull(), F.col("n")).otherwise(0)), F.lit(0))
-        for role in ("sender", "receiver")
-    }
-    entities = {
-        f"distinct_{role}_entities": F.count_distinct(f"{role}_entity_id")
-        for role in ("sender", "receiver")
+        f"unmatched_{role}s": F.coalesce(F.sum(F.when(
+            F.col("entity").isNull() & (F.col("role") == role), F.col("n")).otherwise(0)), F.lit(0))
+        for role in ROLES
     }
-    summary = pairs.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("transactions"),
-        *[expr.alias(name) for name, expr in (unmatched | entities).items()],
+    summary = per_entity.agg(
+        counts["transactions"].alias("transactions"),
+        *[expr.alias(name) for name, expr in unmatched.items()],
+        *[counts[role].alias(f"distinct_{role}_entities") for role in ROLES],
         F.min("first_seen").alias("minimum_timestamp"),
         F.max("last_seen").alias("maximum_timestamp"),
     )
     total = F.col("transactions")
     return summary.withColumns({
         f"{role}_match_percentage": percent(total - F.col(f"unmatched_{role}s"), total, 4)
-        for role in ("sender", "receiver")
+        for role in ROLES
     })
 
 

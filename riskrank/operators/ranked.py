@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskrank.operators.joins import attach_dimension
 from riskrank.session import materialise
 
-BUCKETS = 256
+ROWS_PER_BUCKET = 500_000  # distinct values that one task may order
+MAX_BUCKETS = 1024
 
 
 def value_counts(df: DataFrame, group: str, value: str, weights: dict[str, Column]) -> DataFrame:
@@ -21,42 +24,58 @@ def value_counts(df: DataFrame, group: str, value: str, weights: dict[str, Colum
 
 
 def running_totals(counts: DataFrame, group: str, value: str, weights: list[str],
-                   buckets: int = BUCKETS) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Add ``<w>_before`` (sum over smaller values) and ``<w>_total`` per group.
 
-    ``counts`` holds one row per (group, value) and is read three times, so it
-    should be a stored table. Values are cut into about ``buckets`` ranges of
-    equally many distinct values per group; sums of whole ranges give the
-    offsets, and only rows of one range are ever ordered together.
+    ``counts`` holds one row per (group, value) and is read several times, so
+    it should be a stored table. Groups of up to ``ROWS_PER_BUCKET`` distinct
+    values are ordered directly. Larger ones are cut into ranges of about
+    equally many distinct values: sums of whole ranges give the offsets, and
+    only rows of one range are ever ordered together.
     """
+    if buckets is None:
+        largest = counts.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        buckets = min(MAX_BUCKETS, math.ceil(largest / ROWS_PER_BUCKET))
+    if buckets <= 1:
+        return _window_totals(counts, [group], value, weights).withColumns({
+            f"{w}_total": F.sum(w).over(Window.partitionBy(group)) for w in weights})
+
     fractions = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(group).agg(
-        # Cuts need not be exact: a coarse sketch keeps what is merged small.
-        F.percentile_approx(F.col(value).cast("double"), fractions, 4 * buckets).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value).cast("double")))
-    placed = attach_dimension(counts, cuts, group).withColumn("_bucket", below).drop("_cuts")
-
-    per_bucket = placed.groupBy(group, "_bucket").agg(
-        *[F.sum(w).alias(f"_{w}_sum") for w in weights])
-    earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(group)
-    offsets = per_bucket.select(
+    # Cuts need not be exact: a coarse sketch keeps what is merged small.
+    cuts = counts.groupBy(group).agg(F.percentile_approx(
+        F.col(value).cast("double"), fractions, 4 * buckets).alias("_cuts"))
+    placed = attach_dimension(counts, cuts, group).withColumn(
+        "_bucket", _cuts_below(F.col(value).cast("double"), buckets)).drop("_cuts")
+
+    per_bucket = placed.groupBy(group, "_bucket").agg(*[F.sum(w).alias(w) for w in weights])
+    offsets = _window_totals(per_bucket, [group], "_bucket", weights).select(
         group, "_bucket",
-        *[F.coalesce(F.sum(f"_{w}_sum").over(earlier), F.lit(0)).alias(f"_{w}_offset")
-          for w in weights],
-        *[F.sum(f"_{w}_sum").over(whole).alias(f"{w}_total") for w in weights],
+        *[F.col(f"{w}_before").alias(f"_{w}_offset") for w in weights],
+        *[F.sum(w).over(Window.partitionBy(group)).alias(f"{w}_total") for w in weights],
     )
     # The join and the window share the (group, bucket) partitioning.
-    inside = Window.partitionBy(group, "_bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1)
     joined = placed.join(offsets, [group, "_bucket"])
-    return joined.withColumns({
-        f"{w}_before": F.coalesce(F.sum(w).over(inside), F.lit(0)) + F.col(f"_{w}_offset")
-        for w in weights
+    inside = _window_totals(joined, [group, "_bucket"], value, weights)
+    return inside.withColumns({
+        f"{w}_before": F.col(f"{w}_before") + F.col(f"_{w}_offset") for w in weights
     }).drop("_bucket", *[f"_{w}_offset" for w in weights])
 
 
+def _window_totals(df: DataFrame, keys: list[str], order: str, weights: list[str]) -> DataFrame:
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({
+        f"{w}_before": F.coalesce(F.sum(w).over(earlier), F.lit(0)) for w in weights})
+
+
+def _cuts_below(value: Column, buckets: int) -> Column:
+    """How many of the sorted ``_cuts`` lie below the value, by halving steps."""
+    steps = [1 << i for i in reversed(range(buckets.bit_length()))]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda found, step: found + F.when(
+            F.get("_cuts", found + step - 1) < value, step).otherwise(0))
+
+
 def quantile_columns(value: str, weight: str, probabilities: dict[str, float]) -> list[Column]:
     """Aggregates over ranked rows that give exact, linearly interpolated quantiles.
 
