@@ -33,7 +33,9 @@ FIXED_POINT = float(1 << 30)
 
 @dataclass(frozen=True)
 class Settings:
-    """Training knobs. The published configuration."""
+    """Training knobs. The published configuration, which leaves
+    ``max_leaves`` open.
+    """
 
     max_bins: int = 64
     bags: int = 4

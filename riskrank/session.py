@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   driver_memory: str = "8g", **conf: str) -> SparkSession:
     """A session with AQE, Arrow and UTC; anything else comes from ``conf``."""
@@ -43,12 +46,14 @@ def scratch_root(spark: SparkSession) -> str:
     executor could read another machine's folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="riskrank-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/riskrank/{spark.sparkContext.applicationId}"
+        if application not in _local_scratch:
+            _local_scratch[application] = tempfile.mkdtemp(prefix="riskrank-")
+        shared = _local_scratch[application]
+    return f"{shared.rstrip('/')}/riskrank/{application}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -75,3 +75,8 @@ def test_null_keys_spread_even_without_hot_keys(skewed, dimension):
     text = plan.optimizedPlan().toString()
     join = next(line for line in text.splitlines() if "Join LeftOuter" in line)
     assert "_lane" in join and "_right_lane" in join
+
+
+def test_attach_an_empty_dimension(skewed, dimension):
+    got = joins.attach_dimension(skewed, dimension.limit(0).withColumnRenamed("d", "k"), "k")
+    assert got.count() == 4000 and got.filter("v is not null").count() == 0
