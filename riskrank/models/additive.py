@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from riskrank.functions.keys import hash_bucket
 from riskrank.functions.maths import logistic
 from riskrank.schemas import MODEL_NUMERIC, PROFILE_ATTRIBUTES
-from riskrank.session import materialise
+from riskrank.session import for_iterations, materialise
 
 MAX_LEVELS = 60_000  # level ids are stored as unsigned 16-bit numbers
 FIXED_POINT = float(1 << 30)
@@ -73,10 +73,13 @@ class AdditiveModel:
         return [t.name for t in self.terms]
 
 
-def bin_terms(train: DataFrame, numeric: list[str], nominal: list[str], max_bins: int) -> list[Term]:
-    """Quantile cut points (mergeable sketches) and observed levels, in two aggregates."""
+def bin_terms(train: DataFrame, numeric: list[str], nominal: list[str],
+              max_bins: int) -> tuple[list[Term], int]:
+    """Quantile cut points (mergeable sketches) and observed levels, and the number of rows."""
     fractions = [i / max_bins for i in range(1, max_bins)]
-    cuts = train.agg(*[F.percentile_approx(c, fractions).alias(c) for c in numeric]).first()
+    cuts = train.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.percentile_approx(c, fractions).alias(c) for c in numeric]).first()
     terms = [Term(c, sorted(set(cuts[c] or [])), None) for c in numeric]
     if nominal:
         cells = F.array(*[
@@ -89,7 +92,7 @@ def bin_terms(train: DataFrame, numeric: list[str], nominal: list[str], max_bins
             raise ValueError(f"more than {MAX_LEVELS} nominal levels; group rare levels first")
         for c in nominal:
             terms.append(Term(c, None, sorted(r["level"] for r in seen if r["feature"] == c)))
-    return terms
+    return terms, cuts["_rows"]
 
 
 def _bin_lookup(terms: list[Term]):
@@ -113,7 +116,7 @@ def _bin_lookup(terms: list[Term]):
     return lookup
 
 
-def pack_blocks(train: DataFrame, terms: list[Term], settings: Settings, key: str,
+def pack_blocks(train: DataFrame, terms: list[Term], rows: int, settings: Settings, key: str,
                 label: str) -> DataFrame:
     """Binned training rows, a few thousand per output row, with per-bag hold-out bits."""
     held_out = F.lit(0)
@@ -136,7 +139,8 @@ def pack_blocks(train: DataFrame, terms: list[Term], settings: Settings, key: st
     inputs = train.select(
         *[t.name for t in terms], F.col(label).cast("int").alias("_label"),
         held_out.cast("int").alias("_held_out"))
-    blocks = inputs.mapInPandas(pack, "rows int, bins binary, label binary, held_out binary")
+    blocks = for_iterations(inputs, rows).mapInPandas(
+        pack, "rows int, bins binary, label binary, held_out binary")
     return materialise(blocks, "additive-blocks")
 
 
@@ -255,8 +259,9 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
     the tables of its best round. Bags are averaged and every table is centred
     on the training rows.
     """
-    terms = bin_terms(train, numeric, nominal, settings.max_bins)
-    blocks = pack_blocks(train, terms, settings, key, label).persist(StorageLevel.MEMORY_AND_DISK)
+    terms, rows = bin_terms(train, numeric, nominal, settings.max_bins)
+    blocks = pack_blocks(train, terms, rows, settings, key, label).persist(
+        StorageLevel.MEMORY_AND_DISK)
     offsets = _offsets(terms)
     width, bags = int(offsets[-1]), settings.bags
     tables = np.zeros((bags, width))

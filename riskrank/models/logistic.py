@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskrank.schemas import MODEL_NUMERIC, PROFILE_ATTRIBUTES
+from riskrank.session import for_iterations
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,8 @@ def fit_logistic(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
     solver = LogisticRegression(
         featuresCol="_inputs", labelCol=label, regParam=1.0 / (c * scaling.rows),
         elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol)
-    model = solver.fit(encoder.transform(scaled).select("_inputs", label))
+    inputs = encoder.transform(scaled).select("_inputs", label)
+    model = solver.fit(for_iterations(inputs, scaling.rows))
     return LogisticFit(scaling, encoder, model, list(numeric), list(nominal))
 
 

@@ -8,6 +8,7 @@ pruning and row-group statistics.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -77,3 +78,12 @@ def use_all_slots(scan: DataFrame) -> DataFrame:
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
+
+
+def for_iterations(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> DataFrame:
+    """Fewer, fuller partitions for data that an iterative fit passes over many times.
+
+    Small training sets would spend every pass on task overhead. No shuffle;
+    frames whose partitions already hold that many rows stay as they are.
+    """
+    return df.coalesce(max(1, math.ceil(rows / rows_per_task)))
