@@ -19,8 +19,9 @@ def skewed(spark):
 
 @pytest.fixture(scope="module")
 def dimension(spark):
-    return spark.range(0, 480).crossJoin(spark.range(3).withColumnRenamed("id", "d2")).select(
-        F.col("id").alias("d"), "d2", F.concat(F.lit("v"), "id", F.lit("-"), "d2").alias("v"))
+    return spark.range(480 * 3).select(
+        F.floor(F.col("id") / 3).alias("d"), (F.col("id") % 3).alias("d2"),
+        F.concat(F.lit("v"), "id").alias("v"))
 
 
 def test_hot_digests_finds_the_large_key_and_scales_its_lanes(spark, skewed):
