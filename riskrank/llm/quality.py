@@ -31,8 +31,8 @@ class Quality:
     """Distances are square roots of the divergence in bits, so between 0 and 1."""
 
     common_words: int = 64
-    class_limit: float = 0.2
-    word_limit: float = 0.6
+    class_limit: float = 0.25
+    word_limit: float = 0.5
     least_chars: int = 200
     least_words: int = 50
 

@@ -15,6 +15,7 @@ is just many slices.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,18 +51,26 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     """
     n = len(axes)
 
+    def stepped(point: Column, low: Column, bit: Column, i: int) -> Column:
+        swap = F.get(point, F.lit(0)).bitwiseXOR(F.get(point, F.lit(i))).bitwiseAND(low)
+        bit_set = F.call_function("shiftright", F.get(point, F.lit(i)), bit).bitwiseAND(F.lit(1)) == 1
+
+        def moved(k: Column) -> Column:
+            value = F.get(point, k)
+            inverted = F.when(k == 0, value.bitwiseXOR(low)).otherwise(value)
+            swapped = F.when((k == 0) | (k == i), value.bitwiseXOR(swap)).otherwise(value)
+            return F.when(bit_set, inverted).otherwise(swapped)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), moved)
+
+    def once(point: Column, use) -> Column:
+        """``use`` of a point as a variable: as the only element of an array it is computed once."""
+        return F.get(F.transform(F.array(point), lambda p: use(p)), F.lit(0))
+
     def turn(point: Column, bit: Column) -> Column:
-        low = F.lit(0) + F.call_function("shiftleft", F.lit(1), bit) - 1
+        low = F.call_function("shiftleft", F.lit(1), bit) - 1
         for i in range(n):
-            def at(p, k, i=i):
-                swap = F.get(p, F.lit(0)).bitwiseXOR(F.get(p, F.lit(i))).bitwiseAND(low)
-                bit_set = F.call_function("shiftright", F.get(p, F.lit(i)), bit).bitwiseAND(F.lit(1)) == 1
-                inverted = F.when(k == 0, F.get(p, k).bitwiseXOR(low)).otherwise(F.get(p, k))
-                swapped = F.when((k == 0) | (k == i), F.get(p, k).bitwiseXOR(swap)).otherwise(F.get(p, k))
-                return F.when(bit_set, inverted).otherwise(swapped)
-            # A one-element array makes the point a variable, so it is computed once per axis.
-            point = F.get(F.transform(F.array(point), lambda p, at=at: F.transform(
-                F.sequence(F.lit(0), F.lit(n - 1)), lambda k: at(p, k))), F.lit(0))
+            point = once(point, partial(stepped, low=low, bit=bit, i=i))
         return point
 
     turned = F.aggregate(F.sequence(F.lit(bits - 1), F.lit(1), F.lit(-1)), F.array(*axes), turn) \
@@ -82,7 +91,7 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
                 index = index * 2 + digit
         return index
 
-    return F.get(F.transform(F.array(turned), decoded), F.lit(0))
+    return once(turned, decoded)
 
 
 def shard_documents(df: DataFrame, how: Sharding = Sharding(), id_col: str = "doc_id", text_col: str = "text",

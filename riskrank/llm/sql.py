@@ -11,7 +11,7 @@ SQL: dict[str, str] = {
             SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS parts
             FROM documents),
         placed AS (
-            SELECT doc_id, host, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM lines),
+            SELECT doc_id, host, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM lines),
         keyed AS (SELECT *, {_TRIMMED} AS bare FROM placed),
         pages AS (SELECT host, count(*) AS n FROM lines GROUP BY 1),
         marked AS (
@@ -20,7 +20,7 @@ SQL: dict[str, str] = {
                AND count(DISTINCT doc_id) >= 0.1 * any_value(n)),
         kept AS (
             SELECT doc_id, count(*) FILTER (WHERE m.bare IS NOT NULL) AS n_removed,
-                   coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE m.bare IS NULL), '') AS text
+                   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE m.bare IS NULL), '') AS text
             FROM keyed k LEFT JOIN marked m ON k.host = m.host AND k.bare = m.bare GROUP BY doc_id)
         SELECT doc_id, n_removed, length(text) AS n_chars_kept, sha256(text) AS text_sha256 FROM kept""",
     "op8_chat_format": r"""
@@ -28,18 +28,18 @@ SQL: dict[str, str] = {
             SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
             FROM conversations WHERE conv_id IS NOT NULL),
         placed AS (
-            SELECT *, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id) AS n
+            SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n
             FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
         prefixes AS (
-            SELECT conv_id, at, n, string_agg(length(role) || ':' || role || ':' || length(text) || ':' || text, '|')
-                   OVER (PARTITION BY conv_id ORDER BY at) AS prefix
+            SELECT conv_id, pos, n, string_agg(length(role) || ':' || role || ':' || length(text) || ':' || text, '|')
+                   OVER (PARTITION BY conv_id ORDER BY pos) AS prefix
             FROM placed),
-        ends AS (SELECT prefix, min(conv_id) AS conv_id FROM prefixes WHERE at = n GROUP BY 1),
+        ends AS (SELECT prefix, min(conv_id) AS conv_id FROM prefixes WHERE pos = n GROUP BY 1),
         maximal AS (
             SELECT conv_id FROM ends e
-            WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.at < p.n AND p.prefix = e.prefix))
+            WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.pos < p.n AND p.prefix = e.prefix))
         SELECT conv_id, count(*) AS n_turns,
                string_agg('<|' || replace(role, '|', '') || '|>' || chr(10) || replace(text, '<|', '< |')
-                          || chr(10) || '<|end|>' || chr(10), '' ORDER BY at) AS rendered
+                          || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
         FROM placed JOIN maximal USING (conv_id) GROUP BY conv_id""",
 }
