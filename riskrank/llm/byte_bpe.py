@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 
 from riskrank.llm.common import by_batch, texts, utf8
 
-MOST_STATES = 150_000
-MOST_PAIRS = 200_000
-MOST_PATHS = 400_000
-PIECE_CACHE = 200_000
+MOST_STATES = 400_000
+MOST_PAIRS = 300_000
+MOST_PATHS = 1_000_000
+PIECE_CACHE = 400_000
 CACHED_BYTES = 128  # longer pieces, such as runs of white space, are encoded anew each time
 WRITE_BEYOND = 8  # tokens held back before looking for what all beginnings agree on
 
@@ -64,13 +64,14 @@ class Transducer:
             self._token[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
+        self._parts: tuple[dict, dict] = ({}, {})
         self._reset()
 
     def _reset(self) -> None:
         self._before: list[int] = [-1]
         self._last: list[int] = [-1]
         self._length: list[int] = [0]
-        self._path_of: dict[tuple[int, int], int] = {}
+        self._path_of: dict[int, int] = {}
         self._states: list[tuple[int, ...]] = [(0, 0)]
         self._number: dict[tuple[int, ...], int] = {(0, 0): 0}
         self._steps: dict[int, int] = {}
@@ -105,23 +106,19 @@ class Transducer:
         found = self._pairs.get(key)
         if found is not None:
             return found
-        ranks, text, never = self.ranks, self.bytes_of, 1 << 60
-        ends, heads = [(left, never)], [(right, never)]
-        while pair := self.halves(ends[-1][0]):
-            ends.append((pair[1], ends[-1][0]))
-        while pair := self.halves(heads[-1][0]):
-            heads.append((pair[0], heads[-1][0]))
+        ends, heads = self._lives(left, 1), self._lives(right, 0)
         i, j = len(ends) - 1, len(heads) - 1
-        verdict = True
+        rank_of, verdict = self.ranks.get, True
         while True:
-            (x, x_until), (y, y_until) = ends[i], heads[j]
-            merge = ranks.get(text[x] + text[y])
+            x, x_until = ends[i]
+            y, y_until = heads[j]
+            merge = rank_of(x + y)
             if merge is not None and merge < x_until and merge <= y_until:
                 verdict = False
                 break
-            if not i and not j:
-                break
             if x_until <= y_until:
+                if not i:
+                    break
                 i -= 1
             else:
                 j -= 1
@@ -130,10 +127,22 @@ class Transducer:
         self._pairs[key] = verdict
         return verdict
 
+    def _lives(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """The parts at one end of a token while it is merged, the token first, each with the rank that ends it."""
+        found = self._parts[side].get(token)
+        if found is None:
+            found, until = [(self.bytes_of[token], 1 << 60)], token
+            while pair := self.halves(until):
+                found.append((self.bytes_of[pair[side]], until))
+                until = pair[side]
+            self._parts[side][token] = found
+        return found
+
     def _path(self, before: int, token: int) -> int:
-        found = self._path_of.get((before, token))
+        key = before << 32 | token
+        found = self._path_of.get(key)
         if found is None:
-            found = self._path_of[before, token] = len(self._last)
+            found = self._path_of[key] = len(self._last)
             self._before.append(before)
             self._last.append(token)
             self._length.append(self._length[before] + 1 if before >= 0 else 1)
@@ -153,23 +162,24 @@ class Transducer:
             self._states[number], self._edges, self._token, self._inner, self._last
         moved: list[int] = []
         ended = -1
-        for at in range(0, len(state), 2):
-            child = edges.get(state[at] << 8 | byte)
+        step = edges.get
+        for node, path in zip(state[::2], state[1::2]):
+            child = step(node << 8 | byte)
             if child is None:
                 continue
-            path = state[at + 1]
             if ended < 0:
                 token = token_at[child]
-                if token >= 0 and self.halves(token) is not None and \
-                        (last[path] < 0 or self.agree(last[path], token)):
-                    ended = self._path(path, token)
+                if token >= 0:
+                    before = last[path]
+                    if self.halves(token) is None:
+                        token_at[child] = -1  # merging never makes it
+                    elif before < 0 or self.agree(before, token):
+                        ended = self._path(path, token)
             if inner[child]:
-                moved.append(child)
-                moved.append(path)
+                moved += (child, path)
         if ended < 0:
             raise ValueError(f"no token ends in byte {byte}: the ranks lack single bytes")
-        moved.append(0)
-        moved.append(ended)
+        moved += (0, ended)
         written: tuple[int, ...] = ()
         if self._length[ended] > WRITE_BEYOND:
             written, moved = self._write(moved)
