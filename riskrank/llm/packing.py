@@ -78,15 +78,17 @@ class Coder:
             parts.append((word, stem.lower() if stem.isascii() else stem, word[len(stem):])
                          if stem and stem[-1].isalpha() else (word, word, ""))
         fresh = [s for s in {s for _, s, _ in parts} if s not in self.stems]
-        plain = [s for s in fresh if s.isascii() and s.isalpha()]
+        plain = [s for s in fresh if s.isalpha()]
         groups = [plain[at:at + JOINED] for at in range(0, len(plain), JOINED)]
         for group, coded in zip(groups, self.tokenizer.encode_batch_fast(
                 [" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(coded.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group):
-                for stem, own in zip(group, np.split(ids, cuts[:-1])):
-                    self.stems[stem] = own.tobytes()
+                data, begin = ids.tobytes(), 0
+                for stem, cut in zip(group, cuts.tolist()):
+                    self.stems[stem] = data[4 * begin:4 * cut]
+                    begin = cut
         for stem in fresh:
             if stem not in self.stems:
                 self.stems[stem] = self._coded(stem)
