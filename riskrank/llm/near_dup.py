@@ -143,8 +143,8 @@ def sketches(docs: DataFrame, how: NearDup) -> DataFrame:
                     "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
-    """(a, b, shared, total) of pairs, from the full sets of both."""
+def _shingle_sets(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
+    """(id, grams): the full shingle sets of the documents in ``pairs``."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     known = _Words()
 
@@ -152,7 +152,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
         return {"id": batch.column("doc_id"),
                 "grams": pa.array([shingles(t, how.words, known).tobytes() for t in utf8(batch)], pa.binary())}
 
-    sets = materialise(by_batch(docs.join(needed, "doc_id", "left_semi"), build, "id long, grams binary"), "sets")
+    return materialise(by_batch(docs.join(needed, "doc_id", "left_semi"), build, "id long, grams binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, total) of pairs, from the full sets of both."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
 
@@ -184,17 +188,17 @@ def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     docs = texts(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     sketched = materialise(sketches(docs, how), "sketches")
     prints = ["print_a", "print_b", "n_shingles"]
-    classes = materialise(sketched.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep")),
-                          "classes")
-    chosen = sketched.where("n_shingles > 0").join(
-        classes.withColumnRenamed("rep", "doc_id").select("doc_id", *prints), ["doc_id", *prints], "left_semi")
-    members = chosen.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("keys").alias("key"))
+    classes = materialise(sketched.where("n_shingles > 0").groupBy(*prints).agg(
+        F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes")
+    members = classes.where("rep is not null").select("rep", "n_shingles", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")) \
         .where("centre < last").select("key", "centre")
     shared = materialise(members.join(buckets, "key"), "buckets")
 
     stars = shared.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    compared = materialise(_verified(stars, docs, how), "stars")
+    stars = materialise(stars, "pairs")
+    sets = _shingle_sets(stars, docs, how)  # every member of a shared bucket is in one of these pairs
+    compared = materialise(_verified(stars, sets), "stars")
     linked = F.col("shared") * 100 >= F.col("total") * how.percent
     first = components(compared.where(linked))
 
@@ -221,9 +225,9 @@ def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     if rest.isEmpty():
         found = first
     else:
-        more = _verified(rest, docs, how).where(linked).select("a", "b")
+        more = _verified(rest, sets).where(linked).select("a", "b")
         found = components(compared.where(linked).select("a", "b").union(more))
-    labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
+    labels = classes.drop("keys").join(found.withColumnRenamed("node", "rep"), "rep", "left") \
         .select(*prints, F.coalesce("component", "rep").alias("component"))
     return (sketched.select("doc_id", *prints).join(labels, prints, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
