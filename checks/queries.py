@@ -65,11 +65,6 @@ def text_lines(s: Stages) -> DataFrame:
     return files.read_patterns(s.spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register
-def file_inventory(s: Stages) -> DataFrame:
-    return files.file_inventory(s.spark, s.folder).select("file_name", "size_bytes")
-
-
 @register
 def table_overwrite(s: Stages) -> DataFrame:
     path = scratch_path(s.spark, "table")

@@ -24,12 +24,13 @@ def percent(part: Column, whole: Column, digits: int) -> Column:
 
 
 def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
-    """Bound a value on either side; NULL stays NULL."""
+    """Bound a value on either side; NULL stays NULL and NaN, which sorts above all numbers, NaN."""
+    number = ~F.isnan(value.cast("double"))
     bounded = value
     if low is not None:
-        bounded = F.when(value < low, F.lit(low)).otherwise(bounded)
+        bounded = F.when(number & (value < low), F.lit(low)).otherwise(bounded)
     if high is not None:
-        bounded = F.when(value > high, F.lit(high)).otherwise(bounded)
+        bounded = F.when(number & (value > high), F.lit(high)).otherwise(bounded)
     return bounded
 
 

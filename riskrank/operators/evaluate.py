@@ -7,7 +7,6 @@ grouped aggregate over it, or over its distinct scores.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,9 +159,5 @@ def metric_chart(comparison: DataFrame, metrics: list[str] = METRICS_SHOWN) -> D
     return comparison.unpivot(["model"], metrics, "metric", "value")
 
 
-def stack_scores(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
-
-
 ALL_MODELS = {
     SCORECARD: "scorecard_score", LOGISTIC: "logistic_probability", ADDITIVE: "ebm_probability"}

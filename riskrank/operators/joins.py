@@ -86,7 +86,8 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]
     """Left equi-join with the hot keys of the left side split over lanes.
 
     ``on`` pairs left and right columns; the right key columns are dropped from
-    the result. The right rows of a hot key are repeated once per lane; all
+    the result. Keys of unequal types are compared and dealt as their common
+    type. The right rows of a hot key are repeated once per lane; all
     other keys stay in lane 0 and are shuffled as they are. Rows with a NULL
     key cannot match, so they are spread over as many lanes as there are
     partitions. ``hot`` may be passed when a cheaper frame has the same keys.
@@ -96,34 +97,46 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]
     if hot is None:
         hot = hot_digests(left, {"joined": left_keys})["joined"]
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lanes = F.when(_all_present(left_keys), lane_count(left_keys, hot)).otherwise(
-        F.lit(partitions))
-    spread = left.withColumn("_lane", lane_of(left.columns, lanes))
+    common = [_common_type(left, l, right, r) for l, r in on]
+    own = [f"_own_{i}" for i in range(len(on))]
+    keyed = left.withColumns({o: F.col(l).cast(kind) for o, l, kind in zip(own, left_keys, common)})
+    lanes = F.when(_all_present(own), lane_count(own, hot)).otherwise(F.lit(partitions))
+    spread = keyed.withColumn("_lane", lane_of(left.columns, lanes))
     # Generated rather than a plain 0 where nothing is hot: a constant would be
     # folded out of the join key, and NULL keys would meet in one partition again.
-    last = lane_count(right_keys, hot) - 1
-    copies = right.withColumn(
-        "_right_lane", F.explode(F.sequence(F.lit(0), last))
-    ).withColumnsRenamed({r: f"_key_{i}" for i, r in enumerate(right_keys)})
+    theirs = [f"_key_{i}" for i in range(len(on))]
+    cast = right.withColumns({t: F.col(r).cast(kind) for t, r, kind in zip(theirs, right_keys, common)})
+    copies = cast.drop(*right_keys).withColumn(
+        "_right_lane", F.explode(F.sequence(F.lit(0), lane_count(theirs, hot) - 1)))
     matches = F.col("_lane") == F.col("_right_lane")
-    for i, key in enumerate(left_keys):
-        matches = matches & (F.col(key) == F.col(f"_key_{i}"))
-    return spread.join(copies, matches, "left").drop(
-        "_lane", "_right_lane", *[f"_key_{i}" for i in range(len(on))])
+    for o, t in zip(own, theirs):
+        matches = matches & (F.col(o) == F.col(t))
+    return spread.join(copies, matches, "left").drop("_lane", "_right_lane", *own, *theirs)
+
+
+def _common_type(left: DataFrame, left_key: str, right: DataFrame, right_key: str):
+    """The type in which Spark would compare the two columns."""
+    kinds = [left.schema[left_key].dataType, right.schema[right_key].dataType]
+    if kinds[0] == kinds[1]:
+        return kinds[0]
+    nulls = [F.lit(None).cast(kind) for kind in kinds]
+    return left.sparkSession.range(0).select(F.coalesce(*nulls).alias("key")).schema["key"].dataType
 
 
 def attach_dimension(left: DataFrame, dimension: DataFrame, on: str,
-                     max_rows: int = 10_000) -> DataFrame:
+                     max_rows: int = 10_000, max_bytes: int = 8 << 20) -> DataFrame:
     """Left join of a small per-key table (one row per ``on`` value).
 
-    The dimension is evaluated once. Up to ``max_rows`` rows it is broadcast,
-    which leaves ``left`` where it is; a larger one goes through the spread
-    join, so its size is never assumed.
+    The dimension is evaluated once and stored. Up to ``max_rows`` rows and
+    ``max_bytes`` it is broadcast, which leaves ``left`` where it is; a larger
+    one goes through the spread join, so its size is never assumed. Columns come
+    as those of ``left``, then those of the dimension, on either way.
     """
-    head = dimension.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        small = left.sparkSession.createDataFrame(head)
-        return left.join(F.broadcast(small), on, "left")
     stored = materialise(dimension, "dimension")
+    columns = [*left.columns, *[c for c in dimension.columns if c != on]]
+    head = stored.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows and head.nbytes <= max_bytes:
+        small = left.sparkSession.createDataFrame(head, dimension.schema)
+        return left.join(F.broadcast(small), on, "left").select(*columns)
     return spread_left_join(left, stored.withColumnRenamed(on, "_dimension_key"),
-                            [(on, "_dimension_key")])
+                            [(on, "_dimension_key")]).select(*columns)

@@ -25,27 +25,38 @@ def clean_accounts(raw: DataFrame) -> DataFrame:
     )
 
 
+# Raw name, kind and name after cleaning, in the published order.
+TRANSACTION_COLUMNS = [
+    ("Timestamp", "moment", "transaction_timestamp"),
+    ("From Bank", "bank", "from_bank_id"),
+    ("Account2", "account", "from_account"),
+    ("To Bank", "bank", "to_bank_id"),
+    ("Account4", "account", "to_account"),
+    ("Amount Paid", "double", "amount_paid"),
+    ("Amount Received", "double", "amount_received"),
+    ("Payment Currency", "text", "payment_currency"),
+    ("Receiving Currency", "text", "receiving_currency"),
+    ("Payment Format", "text", "payment_format"),
+    ("Is Laundering", "int", "is_laundering"),
+    ("Timestamp", "day", "transaction_date"),
+]
+
+
 def clean_transactions(raw: DataFrame) -> DataFrame:
     """Typed columns with canonical keys; values that do not parse become NULL."""
-    moment = F.try_to_timestamp("Timestamp", F.lit(TIME_FORMAT))
-    keys = {
-        "from_bank_id": canonical_bank("From Bank"),
-        "from_account": canonical_account("Account2"),
-        "to_bank_id": canonical_bank("To Bank"),
-        "to_account": canonical_account("Account4"),
-    }
-    amounts = {
-        f"amount_{side.lower()}": F.col(f"Amount {side}").try_cast("double")
-        for side in ("Paid", "Received")
+    def moment(name: str) -> Column:
+        return F.try_to_timestamp(name, F.lit(TIME_FORMAT))
+
+    kinds = {
+        "moment": moment,
+        "day": lambda name: F.to_date(moment(name)),
+        "bank": canonical_bank,
+        "account": canonical_account,
+        "text": trimmed,
+        "double": lambda name: F.col(name).try_cast("double"),
+        "int": lambda name: F.col(name).try_cast("int"),
     }
-    texts = {
-        name.lower().replace(" ", "_"): trimmed(name)
-        for name in ("Payment Currency", "Receiving Currency", "Payment Format")
-    }
-    label = {"is_laundering": F.col("Is Laundering").try_cast("int")}
-    columns = {"transaction_timestamp": moment, **keys, **amounts, **texts, **label,
-               "transaction_date": F.to_date(moment)}
-    return raw.select(*[expr.alias(name) for name, expr in columns.items()])
+    return raw.select(*[kinds[kind](name).alias(out) for name, kind, out in TRANSACTION_COLUMNS])
 
 
 def ambiguous_keys(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -71,10 +82,13 @@ def assert_unique_mapping(df: DataFrame, keys: list[str], value: str) -> None:
 
 
 def deduplicate(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: the smallest by the other columns, whatever the input order."""
+    """One row per key: the smallest by the other columns, whatever the input order.
+
+    Copies are hashed away first, so that only what differs is ordered.
+    """
     rest = [c for c in df.columns if c not in keys]
     smallest = F.min(F.struct(*rest)).alias("kept")
-    return df.groupBy(*keys).agg(smallest).select(
+    return df.distinct().groupBy(*keys).agg(smallest).select(
         *[F.col(c) if c in keys else F.col(f"kept.{c}") for c in df.columns])
 
 

@@ -44,6 +44,7 @@ def stratified_split(frame: DataFrame, key: str = "entity_id", label: str = "fut
 
     Rows are ordered by a seeded hash of their key and each class is cut at
     exact ranks, so membership does not depend on partitioning or row order.
+    Rows without a label belong to no class and get the split ``unlabelled``.
     """
     hashed = frame.withColumn("_draw", hash_number(key, seed, algo))
     ordered = running_totals(
@@ -59,6 +60,7 @@ def stratified_split(frame: DataFrame, key: str = "entity_id", label: str = "fut
     for i in reversed(range(len(edges))):
         edge = F.col(f"_edge_{i}")
         picked = F.when(edge.isNull() | (F.col("_draw") < edge), shares[i][0]).otherwise(picked)
+    picked = F.when(F.col(label).isNull(), "unlabelled").otherwise(picked)
     return placed.withColumn("split", picked).select(*frame.columns, "split")
 
 

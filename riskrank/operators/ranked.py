@@ -53,8 +53,11 @@ def running_totals(counts: DataFrame, group: str, value: str, weights: list[str]
         *[F.col(f"{w}_before").alias(f"_{w}_offset") for w in weights],
         *[F.sum(w).over(Window.partitionBy(group)).alias(f"{w}_total") for w in weights],
     )
-    # The join and the window share the (group, bucket) partitioning.
-    joined = placed.join(offsets, [group, "_bucket"])
+    # A NULL group is a group like any other, so the join treats NULLs as equal.
+    offsets = offsets.withColumnsRenamed({group: "_offset_group", "_bucket": "_offset_bucket"})
+    joined = placed.join(
+        offsets, F.col(group).eqNullSafe(F.col("_offset_group"))
+        & (F.col("_bucket") == F.col("_offset_bucket"))).drop("_offset_group", "_offset_bucket")
     inside = _window_totals(joined, [group, "_bucket"], value, weights)
     return inside.withColumns({
         f"{w}_before": F.col(f"{w}_before") + F.col(f"_{w}_offset") for w in weights

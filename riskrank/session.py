@@ -9,13 +9,12 @@ pruning and row-group statistics.
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_scratch: dict[str, str] = {}
+_folder_where_unset: list[str] = []
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
@@ -40,21 +39,23 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
     return spark
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for this application's stage tables, below the shared checkpoint folder.
+def use_folder(path: str) -> None:
+    """Folder for sessions that leave ``spark.checkpoint.dir`` unset, as tests and local runs do."""
+    _folder_where_unset[:] = [path]
 
-    A machine-local fallback exists for local runs only: on a cluster no
-    executor could read another machine's folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    application = spark.sparkContext.applicationId
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder for this application's stage tables, below the shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or next(iter(_folder_where_unset), None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        if application not in _local_scratch:
-            _local_scratch[application] = tempfile.mkdtemp(prefix="riskrank-")
-        shared = _local_scratch[application]
-    return f"{shared.rstrip('/')}/riskrank/{application}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return f"{shared.rstrip('/')}/riskrank/{spark.sparkContext.applicationId}"
+
+
+def close_scratch(spark: SparkSession) -> None:
+    """Remove this application's stage tables; frames that read them are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -30,7 +30,7 @@ def _read_csv(spark, path, schema):
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and path of every file below ``path``; file contents are not read."""
     return (
-        spark.read.format("binaryFile").load(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select(
             F.element_at(F.split("path", "/"), -1).alias("file_name"),
             F.col("length").alias("size_bytes"),
@@ -59,8 +59,14 @@ def write_table(df: DataFrame, name_or_path: str, fmt: str = "parquet",
         writer.saveAsTable(name_or_path)
 
 
-def write_result_csv(df: DataFrame, path: str) -> None:
-    """Export a report (one row per model or per bin) as a single CSV part."""
+def write_result_csv(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
+    """Export a report (one row per model or per bin) as a single CSV part.
+
+    One task writes the part, so more than ``most_rows`` rows are an error; write
+    such a table with ``write_table``.
+    """
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows are no report; use write_table")
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -58,7 +59,8 @@ def main() -> int:
     from riskrank.session import build_session
 
     folder, names = sys.argv[1], sys.argv[2:]
-    spark = build_session("local[8]", 8, **{"spark.ui.showConsoleProgress": "false"})
+    spark = build_session("local[8]", 8, **{"spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="riskrank-")})
     connection, twins, bad = connect(folder), oracle_sql(), 0
     for name, query in queries().items():
         if names and name not in names:

@@ -24,14 +24,17 @@ def test_scratch_uses_the_shared_folder():
     assert session.scratch_root(Session("yarn", "hdfs://nn/ckpt/")) == "hdfs://nn/ckpt/riskrank/app-1"
 
 
-def test_cluster_without_a_shared_folder_is_refused():
+def test_a_session_without_a_shared_folder_is_refused(monkeypatch):
+    monkeypatch.setattr(session, "_folder_where_unset", [])
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_root(Session("yarn", None))
 
 
-def test_local_run_gets_one_folder_per_application():
-    local = Session("local[2]", None)
-    assert session.scratch_root(local) == session.scratch_root(local)
+def test_a_folder_can_stand_in_where_the_setting_is_missing(monkeypatch):
+    monkeypatch.setattr(session, "_folder_where_unset", [])
+    session.use_folder("/shared")
+    assert session.scratch_root(Session("local[2]", None)) == "/shared/riskrank/app-1"
+    assert session.scratch_root(Session("local[2]", "/set")) == "/set/riskrank/app-1"
 
 
 def test_materialise_reads_back_what_it_wrote(spark):
