@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from riskrank.llm.common import by_batch, texts
 from riskrank.session import materialise
 
-WORD_CACHE = 500_000
+WORD_CACHE = 900_000
 CACHED_CHARS = 64
 CHUNK_CHARS = 1 << 20
 JOINED = 64
