@@ -11,14 +11,21 @@ hashes a document instead of ``size * shingles``.
 
 Documents with the same set form a class and are sketched once. Classes that
 share a band are compared with the band bucket's smallest class, on the full
-sets. Members that the star leaves in different components are then compared
-with each other, except where the distances to the bucket's centre prove by the
-triangle inequality that they cannot be linked. Components are thus those of
-all pairs that share a band; pairs inside a component are not enumerated.
+sets; where that leaves a bucket in several components, with its most central
+class too. Members that both stars leave in different components are then
+compared with each other, except where the distances to the first centre prove
+by the triangle inequality that they cannot be linked, or where one-bit codes of
+a sketch of 2,048 coordinates differ more than those of linked sets do but with
+a probability of about 1e-7, the order of what the bands miss. Components are
+thus those of all pairs that share a band; pairs inside a component are not
+enumerated.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +42,8 @@ from riskrank.session import materialise
 
 WORD_CACHE = 1 << 19
 CHUNK_SHINGLES = 1 << 21
+CODE_BITS = 2048
+CODE_CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -176,6 +185,83 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(compare, "a long, b long, shared long, total long"))
 
 
+def _unsettled(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, rep, n_shingles, away, component) of the buckets whose members are in several components."""
+    placed = materialise(placed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+                         .select("key", "rep", "n_shingles", "away", F.coalesce("component", "rep").alias("component")),
+                         "placed")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
+        .where("low < high").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
+def _second_stars(open_: DataFrame) -> DataFrame:
+    """Pairs of each bucket's most central member, the one that shares most buckets with others, and the rest.
+
+    The original that edited copies were made from shares more bands with them
+    than they share with each other, so it links what the first star left apart.
+    """
+    crowd = (open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
+             .groupBy("rep").agg(F.sum("members").alias("crowd")))
+    centres = (open_.join(crowd, "rep").groupBy("key")
+               .agg(F.max(F.struct("crowd", -F.col("rep"), "component")).alias("top"))
+               .select("key", (-F.col("top.col2")).alias("hub"), F.col("top.component").alias("hub_component")))
+    return (open_.join(centres, "key").where(F.col("component") != F.col("hub_component"))
+            .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
+
+
+def most_differing(how: NearDup) -> int:
+    """Bits of two codes that differ at most, for linked sets but with a probability of about 1e-7."""
+    least = how.percent / 100
+    return math.ceil(CODE_BITS * (1 - least) / 2 + 5.5 * math.sqrt(CODE_BITS * (1 - least * least) / 4))
+
+
+def codes(sets: DataFrame) -> DataFrame:
+    """(rep, code): the lowest bit of each coordinate of a long sketch, 64 to a number.
+
+    Bits of equal coordinates agree, others by chance in every second case.
+    """
+    def build(batch: pa.RecordBatch) -> dict:
+        grams = [np.frombuffer(g.as_py(), np.uint64) for g in batch.column("grams")]
+        made = []
+        for at in range(0, len(grams), CODE_CHUNK):
+            part = grams[at:at + CODE_CHUNK]
+            owner = np.repeat(np.arange(len(part)), [len(g) for g in part])
+            bits = fast_sketch(np.concatenate(part), owner, len(part), CODE_BITS) & np.uint64(1)
+            made.append(np.packbits(bits.astype(np.uint8), axis=1).view(np.int64))
+        return {"rep": batch.column("id"), "code": lists(np.concatenate(made).ravel(), CODE_BITS // 64, pa.int64())}
+
+    return by_batch(sets, build, "rep long, code array<long>")
+
+
+def _across(still: DataFrame, sets: DataFrame, classes: DataFrame, how: NearDup) -> DataFrame:
+    """Pairs of unsettled buckets that may be linked, from different components.
+
+    Left out is what the distances to the first centre rule out by the triangle
+    inequality, what the sizes rule out, and pairs whose long codes differ more
+    than those of linked sets do. Each pair comes from the first band it shares.
+    """
+    reps = still.select("rep").distinct()
+    short = lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    bands = classes.join(reps, "rep", "left_semi").select("rep", F.transform("keys", short).alias("bands"))
+    code = codes(sets.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi"))
+    known = materialise(bands.join(code, "rep"), "codes")
+    full = still.join(known, "rep").withColumn("at", F.array_position("bands", short(F.col("key")))).where("at > 0")
+    x, y = full.alias("x"), full.alias("y")
+    reach = 1 - how.percent / 100 + 1e-9
+    differing = functools.reduce(operator.add, (
+        F.bit_count(F.col("x.code")[i].bitwiseXOR(F.col("y.code")[i])) for i in range(CODE_BITS // 64)))
+    before = F.col("x.at") - 1
+    apart = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
+        & (F.col("x.away") > 0) & (F.col("y.away") > 0)  # the centre itself was compared with all
+        & (F.abs(F.col("x.away") - F.col("y.away")) <= reach)
+        & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * how.percent)
+        & (differing <= most_differing(how))
+        & ~F.arrays_overlap(F.slice("x.bands", F.lit(1), before), F.slice("y.bands", F.lit(1), before)))
+    return x.join(y, apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
@@ -202,31 +288,20 @@ def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     linked = F.col("shared") * 100 >= F.col("total") * how.percent
     first = components(compared.where(linked))
 
-    # Buckets whose members are still in several components: compare across them.
+    # Buckets whose members are still in several components: one more star, around the member in the densest buckets.
     distance = 1 - F.col("shared") / F.col("total")
-    placed = (shared.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("centre"),
-                                          distance.alias("away")), ["rep", "centre"], "left")
-              .join(first.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("key", "rep", "n_shingles", F.coalesce("away", F.lit(0.0)).alias("away"),
-                      F.coalesce("component", "rep").alias("component")))
-    placed = materialise(placed, "placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
-        .where("low < high").select("key")
-    open_ = placed.join(several, "key", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
-    reach = 1 - how.percent / 100 + 1e-9
-    apart = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-        & (F.col("x.away") > 0) & (F.col("y.away") > 0)  # the centre itself was compared with all
-        & (F.abs(F.col("x.away") - F.col("y.away")) <= reach)
-        & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * how.percent))
-    rest = materialise(x.join(y, apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(),
-                       "rest")
-    if rest.isEmpty():
-        found = first
-    else:
-        more = _verified(rest, sets).where(linked).select("a", "b")
-        found = components(compared.where(linked).select("a", "b").union(more))
+    placed = shared.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("centre"), distance.alias("away")),
+                         ["rep", "centre"], "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
+    open_ = materialise(_unsettled(placed, first), "open")
+    found = first
+    if not open_.isEmpty():
+        again = materialise(_second_stars(open_), "pairs")
+        links = compared.where(linked).select("a", "b").union(
+            materialise(_verified(again, sets), "stars").where(linked).select("a", "b"))
+        second = components(links)
+        still = materialise(_unsettled(open_.drop("component"), second), "open")
+        rest = materialise(_across(still, sets, classes, how), "rest")
+        found = components(links.union(_verified(rest, sets).where(linked).select("a", "b")))
     labels = classes.drop("keys").join(found.withColumnRenamed("node", "rep"), "rep", "left") \
         .select(*prints, F.coalesce("component", "rep").alias("component"))
     return (sketched.select("doc_id", *prints).join(labels, prints, "left")

@@ -304,3 +304,32 @@ def test_packed_sequences_are_gapless_and_hold_the_library_ids(spark, awkward, s
             if doc.doc_id not in (1, None):  # these ids are repeated in the awkward rows
                 assert sum(whole[doc.doc_id], []) == ids
     assert packing.pack_documents(awkward.limit(0), queries.WORD_VOCABULARY, how).count() == 0
+
+
+def test_cloud_of_edited_copies_keeps_every_link(spark):
+    """Copies of one text with up to a quarter of its words changed: similarities lie on both sides of 0.8."""
+    draw = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(160)]
+    docs = [(0, " ".join(base[:150] + [f"z{i}" for i in range(14)]))]
+    for doc in range(1, 260):
+        words = list(base)
+        for at in draw.choice(160, int(draw.integers(1, 22)), replace=False):
+            words[at] = f"x{draw.integers(10 ** 9)}"
+        docs.append((doc, " ".join(words)))
+    sets = {doc: set(zip(text.split(), text.split()[1:])) for doc, text in docs}
+    root = {doc: doc for doc in sets}
+
+    def find(doc):
+        while root[doc] != doc:
+            doc = root[doc]
+        return doc
+
+    for one in sets:
+        for two in range(one):
+            if 100 * len(sets[one] & sets[two]) >= 80 * len(sets[one] | sets[two]):
+                low, high = sorted((find(one), find(two)))
+                root[high] = low
+    want = {(doc, find(doc)) for doc in sets}
+    assert 3 < len({component for _, component in want}) < 200
+    got = near_dup.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), near_dup.NearDup(words=2))
+    assert collected(got.select("doc_id", "component_id")) == want
