@@ -186,9 +186,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _unsettled(placed: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, rep, n_shingles, away, component) of the buckets whose members are in several components."""
+    """(key, rep, away, component) of the buckets whose members are in several components."""
     placed = materialise(placed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-                         .select("key", "rep", "n_shingles", "away", F.coalesce("component", "rep").alias("component")),
+                         .select("key", "rep", "away", F.coalesce("component", "rep").alias("component")),
                          "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
         .where("low < high").select("key")
@@ -243,7 +243,7 @@ def _across(still: DataFrame, sets: DataFrame, classes: DataFrame, how: NearDup)
     """
     reps = still.select("rep").distinct()
     short = lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    bands = classes.join(reps, "rep", "left_semi").select("rep", F.transform("keys", short).alias("bands"))
+    bands = classes.join(reps, "rep", "left_semi").select("rep", "n_shingles", F.transform("keys", short).alias("bands"))
     code = codes(sets.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi"))
     known = materialise(bands.join(code, "rep"), "codes")
     full = still.join(known, "rep").withColumn("at", F.array_position("bands", short(F.col("key")))).where("at > 0")
@@ -276,9 +276,9 @@ def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     prints = ["print_a", "print_b", "n_shingles"]
     classes = materialise(sketched.where("n_shingles > 0").groupBy(*prints).agg(
         F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes")
-    members = classes.where("rep is not null").select("rep", "n_shingles", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")) \
-        .where("centre < last").select("key", "centre")
+    members = classes.where("rep is not null").select("rep", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")) \
+        .where("members > 1").select("key", "centre")
     shared = materialise(members.join(buckets, "key"), "buckets")
 
     stars = shared.where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
@@ -295,6 +295,8 @@ def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     open_ = materialise(_unsettled(placed, first), "open")
     found = first
     if not open_.isEmpty():
+        members = open_.select(F.col("rep").alias("id")).distinct()
+        sets = materialise(sets.join(members, "id", "left_semi"), "sets")
         again = materialise(_second_stars(open_), "pairs")
         links = compared.where(linked).select("a", "b").union(
             materialise(_verified(again, sets), "stars").where(linked).select("a", "b"))
