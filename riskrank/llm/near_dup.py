@@ -243,7 +243,8 @@ def _across(still: DataFrame, sets: DataFrame, classes: DataFrame, how: NearDup)
     """
     reps = still.select("rep").distinct()
     short = lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    bands = classes.join(reps, "rep", "left_semi").select("rep", "n_shingles", F.transform("keys", short).alias("bands"))
+    bands = (classes.join(reps, "rep", "left_semi")
+             .select("rep", "n_shingles", F.transform("keys", short).alias("bands")))
     code = codes(sets.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi"))
     known = materialise(bands.join(code, "rep"), "codes")
     full = still.join(known, "rep").withColumn("at", F.array_position("bands", short(F.col("key")))).where("at > 0")
