@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskrank.functions.maths import logistic
-from riskrank.models.additive import Settings, fit_additive, score_additive
+from riskrank.models.additive import fit_additive, score_additive
 from riskrank.models.logistic import fit_logistic, score_logistic
 from riskrank.operators import behaviour, evaluate, mapping, prepare, profile, scorecard, temporal
 from riskrank.operators.joins import hot_digests
@@ -21,7 +21,6 @@ from riskrank.session import materialise
 from riskrank.sources import orders
 
 ALGO = "md5"  # reproducible in SQL; the library default is xxhash64
-BOOSTING = Settings(max_rounds=60)
 
 # Fixed weights of two stand-in models, so that evaluation can be replayed in SQL.
 STAND_INS = {
@@ -116,7 +115,7 @@ class Stages:
 
     @cached_property
     def additive_fit(self):
-        return fit_additive(self.train, settings=BOOSTING)
+        return fit_additive(self.train)
 
     @cached_property
     def model_scores(self) -> DataFrame:

@@ -2,12 +2,14 @@
 
 Every input becomes a small table of scores over its bins; a prediction is the
 intercept plus one table entry per input. Training rows are packed once into
-compact binned blocks. A round sends the current tables (tens of kilobytes) to
-the blocks and brings back gradient and curvature sums per (bag, input, bin);
-the driver only ever holds tables and those sums.
-
-Sums are fixed-point integers, so they do not depend on the order in which
-partitions arrive: the same data and seed give the same model.
+compact binned blocks. A round broadcasts the current tables (tens of kilobytes)
+to the blocks and brings back gradient and curvature sums per (bag, input, bin),
+merged in a tree; the driver only ever holds tables and those sums. The rounds
+run on one cached RDD of blocks, since planning a query for each of up to 2,000
+rounds costs more than the pass itself.
+
+Cut points are exact and sums are fixed-point integers, so neither depends on
+the order in which partitions arrive: the same data and seed give the same model.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskrank.functions.keys import hash_bucket
 from riskrank.functions.maths import logistic
+from riskrank.operators.ranked import running_totals, value_counts
 from riskrank.schemas import MODEL_NUMERIC, PROFILE_ATTRIBUTES
 from riskrank.session import for_iterations, materialise
 
-MAX_LEVELS = 60_000  # level ids are stored as unsigned 16-bit numbers
+MAX_LEVELS = 1_000_000  # per input: every level has a score in the tables on the driver
 FIXED_POINT = float(1 << 30)
 
 
@@ -73,26 +75,52 @@ class AdditiveModel:
         return [t.name for t in self.terms]
 
 
+def cut_points(train: DataFrame, numeric: list[str], max_bins: int) -> dict[str, list[float]]:
+    """Exact quantile cut points per input: the values at i/max_bins of its non-NULL rows."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+        for c in numeric])
+    known = train.select(F.inline(cells)).filter(F.col("value").isNotNull())
+    counts = value_counts(known, "feature", "value", {"n": F.lit(1)})
+    ranked = running_totals(counts, "feature", "value", ["n"])
+
+    def reached(rows: Column) -> Column:
+        """How many of the inner quantile positions lie at or below this many rows."""
+        return F.least(F.floor(rows * max_bins / F.col("n_total")), F.lit(max_bins - 1))
+
+    cuts = ranked.filter(reached(F.col("n_before") + F.col("n")) > reached(F.col("n_before")))
+    found: dict[str, list[float]] = {c: [] for c in numeric}
+    for row in cuts.select("feature", "value").collect():  # below max_bins per input
+        found[row["feature"]].append(row["value"])
+    return {c: sorted(values) for c, values in found.items()}
+
+
+def nominal_levels(train: DataFrame, nominal: list[str]) -> dict[str, list[str]]:
+    """Observed levels per input, up to ``MAX_LEVELS`` of each."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in nominal])
+    seen = materialise(train.select(F.inline(cells)).dropna().distinct(), "levels")
+    sizes = {r["feature"]: r["count"] for r in seen.groupBy("feature").count().collect()}
+    wide = [c for c, size in sizes.items() if size > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"more than {MAX_LEVELS} levels in {wide}; group rare levels first")
+    found: dict[str, list[str]] = {c: [] for c in nominal}
+    for row in seen.collect():
+        found[row["feature"]].append(row["level"])
+    return {c: sorted(values) for c, values in found.items()}
+
+
 def bin_terms(train: DataFrame, numeric: list[str], nominal: list[str],
-              max_bins: int) -> tuple[list[Term], int]:
-    """Quantile cut points (mergeable sketches) and observed levels, and the number of rows."""
-    fractions = [i / max_bins for i in range(1, max_bins)]
-    cuts = train.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.percentile_approx(c, fractions).alias(c) for c in numeric]).first()
-    terms = [Term(c, sorted(set(cuts[c] or [])), None) for c in numeric]
-    if nominal:
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in nominal])
-        seen = (
-            train.select(F.inline(cells)).dropna().distinct()
-            .limit(MAX_LEVELS + 1).collect()
-        )
-        if len(seen) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} nominal levels; group rare levels first")
-        for c in nominal:
-            terms.append(Term(c, None, sorted(r["level"] for r in seen if r["feature"] == c)))
-    return terms, cuts["_rows"]
+              max_bins: int) -> list[Term]:
+    """One term per input with its cut points or levels."""
+    cuts = cut_points(train, numeric, max_bins) if numeric else {}
+    levels = nominal_levels(train, nominal) if nominal else {}
+    return [Term(c, cuts[c], None) for c in numeric] + [Term(c, None, levels[c]) for c in nominal]
+
+
+def _bin_type(terms: list[Term]) -> type:
+    """Smallest type that holds every bin number, the one of unseen levels included."""
+    return np.uint16 if max((t.bins for t in terms), default=0) < 1 << 16 else np.uint32
 
 
 def _bin_lookup(terms: list[Term]):
@@ -102,9 +130,10 @@ def _bin_lookup(terms: list[Term]):
     """
     specs = [(t.name, None if t.cuts is None else np.asarray(t.cuts, dtype=float), t.levels)
              for t in terms]
+    kind = _bin_type(terms)
 
     def lookup(frame: pd.DataFrame) -> np.ndarray:
-        out = np.empty((len(specs), len(frame)), dtype=np.uint16)
+        out = np.empty((len(specs), len(frame)), dtype=kind)
         for i, (name, cuts, levels) in enumerate(specs):
             if levels is None:
                 out[i] = np.searchsorted(cuts, frame[name].to_numpy(dtype=float), side="right")
@@ -150,62 +179,58 @@ def _offsets(terms: list[Term]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(widths)]).astype(np.int64)
 
 
-def _round_sums(blocks: DataFrame, tables: np.ndarray, intercepts: np.ndarray,
-                offsets: np.ndarray, active: list[int]) -> dict[str, np.ndarray]:
-    """Gradient, curvature and row sums per (bag, bin), and hold-out loss per bag.
+def _block(row, terms: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins per term, labels, hold-out bits) of one packed block."""
+    return (np.frombuffer(row["bins"], dtype=kind).reshape(terms, row["rows"]),
+            np.frombuffer(row["label"], dtype=np.uint8),
+            np.frombuffer(row["held_out"], dtype=np.uint32))
 
-    The result has bags x (bins + 1) rows whatever the data size; the extra
-    cell of a bag carries its hold-out loss and row count.
+
+def _block_sums(block: tuple, starts: np.ndarray, tables: np.ndarray, intercepts: np.ndarray,
+                active: list[int]) -> np.ndarray:
+    """Fixed-point gradient, curvature and row sums of a block: (3, bags, bins + 1).
+
+    The extra cell of a bag carries its hold-out loss and row count.
     """
+    bins, labels, held = block
     bags, width = tables.shape
-    starts = offsets[:-1]
-    scale = FIXED_POINT
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = bags * (width + 1)
-        total = np.zeros((3, size), dtype=np.int64)
-        for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for r in range(batch.num_rows):
-                rows, packed, labels, bits = (c[r].as_py() for c in columns)
-                bins = np.frombuffer(packed, dtype=np.uint16).reshape(len(starts), rows)
-                cells = bins.astype(np.int64) + starts[:, None]
-                y = np.frombuffer(labels, dtype=np.uint8).astype(float)
-                held = np.frombuffer(bits, dtype=np.uint32)
-                for bag in active:
-                    margin = intercepts[bag] + tables[bag][cells].sum(axis=0)
-                    p = 1.0 / (1.0 + np.exp(-margin))
-                    out = (held >> bag) & 1 == 1
-                    base = bag * (width + 1)
-                    loss = np.logaddexp(0.0, margin[out]) - y[out] * margin[out]
-                    total[0, base + width] += np.rint(loss * scale).astype(np.int64).sum()
-                    total[2, base + width] += int(out.sum())
-                    inside = cells[:, ~out]
-                    grad = np.rint((y - p)[~out] * scale)
-                    curve = np.rint((p * (1.0 - p))[~out] * scale)
-                    for line in inside:
-                        # bincount adds doubles: whole numbers below 2^53 stay exact.
-                        span = slice(base, base + width)
-                        total[0, span] += np.bincount(line, grad, width).astype(np.int64)
-                        total[1, span] += np.bincount(line, curve, width).astype(np.int64)
-                        total[2, span] += np.bincount(line, minlength=width)
-        touched = np.flatnonzero(total[2])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(touched.astype(np.int32))] + [pa.array(row[touched]) for row in total],
-            names=["cell", "gradient", "curvature", "n"])
-
-    partial = blocks.select("rows", "bins", "label", "held_out").mapInArrow(
-        sums, "cell int, gradient long, curvature long, n long")
-    merged = partial.groupBy("cell").agg(
-        F.sum("gradient").alias("gradient"), F.sum("curvature").alias("curvature"),
-        F.sum("n").alias("n")).toArrow()
-    cells = merged["cell"].to_numpy()
-    result = {}
-    for name, unit in (("gradient", scale), ("curvature", scale), ("n", 1.0)):
-        flat = np.zeros(bags * (width + 1))
-        flat[cells] = merged[name].to_numpy() / unit
-        result[name] = flat.reshape(bags, width + 1)
-    return result
+    total = np.zeros((3, bags, width + 1), dtype=np.int64)
+    cells = bins.astype(np.int64) + starts[:, None]
+    y = labels.astype(float)
+    for bag in active:
+        margin = intercepts[bag] + tables[bag][cells].sum(axis=0)
+        p = 1.0 / (1.0 + np.exp(-margin))
+        out = (held >> bag) & 1 == 1
+        loss = np.logaddexp(0.0, margin[out]) - y[out] * margin[out]
+        total[0, bag, width] = np.rint(loss * FIXED_POINT).astype(np.int64).sum()
+        total[2, bag, width] = int(out.sum())
+        inside = cells[:, ~out]
+        grad = np.rint((y - p)[~out] * FIXED_POINT)
+        curve = np.rint((p * (1.0 - p))[~out] * FIXED_POINT)
+        for line in inside:
+            # bincount adds doubles: whole numbers below 2^53 stay exact.
+            total[0, bag, :width] += np.bincount(line, grad, width).astype(np.int64)
+            total[1, bag, :width] += np.bincount(line, curve, width).astype(np.int64)
+            total[2, bag, :width] += np.bincount(line, minlength=width)
+    return total
+
+
+def _round_sums(blocks: RDD, tables: np.ndarray, intercepts: np.ndarray,
+                offsets: np.ndarray, active: list[int]) -> dict[str, np.ndarray]:
+    """Sums of all blocks as (bags, bins + 1) arrays, whatever the data size."""
+    starts, shape = offsets[:-1], (3, tables.shape[0], tables.shape[1] + 1)
+    sent = blocks.context.broadcast((tables, intercepts, active))
+
+    def sums(held: Iterator[tuple]) -> Iterator[np.ndarray]:
+        total = np.zeros(shape, dtype=np.int64)
+        for block in held:
+            total += _block_sums(block, starts, *sent.value)
+        yield total
+
+    total = blocks.mapPartitions(sums).treeReduce(np.add)
+    sent.destroy()
+    return {"gradient": total[0] / FIXED_POINT, "curvature": total[1] / FIXED_POINT,
+            "n": total[2].astype(float)}
 
 
 def _best_cut(g: np.ndarray, h: np.ndarray, n: np.ndarray, min_rows: int) -> tuple[float, int]:
@@ -259,8 +284,10 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
     the tables of its best round. Bags are averaged and every table is centred
     on the training rows.
     """
-    terms, rows = bin_terms(train, numeric, nominal, settings.max_bins)
-    blocks = pack_blocks(train, terms, rows, settings, key, label).persist(
+    terms = bin_terms(train, numeric, nominal, settings.max_bins)
+    packed = pack_blocks(train, terms, train.count(), settings, key, label)
+    count, kind = len(terms), _bin_type(terms)
+    blocks = packed.rdd.map(lambda row: _block(row, count, kind)).persist(
         StorageLevel.MEMORY_AND_DISK)
     offsets = _offsets(terms)
     width, bags = int(offsets[-1]), settings.bags

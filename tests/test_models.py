@@ -87,9 +87,34 @@ def test_additive_fit_is_reproducible(train, model):
     again = additive.fit_additive(train, NUMERIC, NOMINAL, settings=SMALL)
     moved = additive.fit_additive(train.repartition(7), NUMERIC, NOMINAL, settings=SMALL)
     assert again == model
-    assert moved.rounds == model.rounds
-    for one, other in zip(moved.terms, model.terms):
-        assert np.allclose(one.scores, other.scores, atol=1e-6)
+    assert moved == model
+
+
+def test_fit_of_many_rows_does_not_depend_on_partitions(spark):
+    rows = spark.range(24_000).select(
+        F.format_string("E%d", "id").alias("entity_id"),
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("a"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("double").alias("b"),
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3)).cast("string").alias("c")).withColumn(
+        "future_aml_event", (F.pmod(F.xxhash64("entity_id"), F.lit(100)) < 5 + F.col("b") * 8).cast("int"))
+    few = additive.Settings(max_rounds=6)
+    one, other = (additive.fit_additive(rows.repartition(n), NUMERIC, NOMINAL, settings=few) for n in (2, 9))
+    assert one == other
+
+
+def test_cut_points_are_the_exact_quantiles(spark):
+    values = [float(v * v % 1009) for v in range(5000)] + [3.0] * 2000
+    df = spark.createDataFrame([(v, 1.0) for v in values] + [(None, None)], "a double, k double")
+    ordered, n = sorted(values), len(values)
+    expected = {ordered[-(-i * n // 64) - 1] for i in range(1, 64)}
+    cuts = additive.cut_points(df, ["a", "k"], 64)
+    assert cuts == {"a": sorted(expected), "k": [1.0]}
+
+
+def test_many_levels_take_wider_bin_numbers():
+    few = additive.Term("c", None, ["x"] * 65_535)
+    many = additive.Term("c", None, ["x"] * 65_536)
+    assert additive._bin_type([few]) is np.uint16 and additive._bin_type([few, many]) is np.uint32
 
 
 def test_additive_unseen_level_contributes_nothing(train, model):
