@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
-from checks.stages import ADDITIVE, LOGISTIC, SCORECARD, STAND_INS
+from checks.stages import (
+    ADDITIVE, EXPLAINED_NOMINAL, EXPLAINED_NUMERIC, LOGISTIC, SCORECARD, STAND_INS,
+)
 from riskrank.functions.maths import ERFC_FIT
 from riskrank.operators import decide
 from riskrank.operators.scorecard import RULES
@@ -499,8 +501,9 @@ FINAL: dict[str, str] = {
           feature, contribution from (
             select *, row_number() over (partition by entity_id order by abs(contribution) desc, feature) as rn
             from (""" + " union all ".join(
-                f"select entity_id, '{c}' as feature, round({c}*({w}::double),6) as contribution from frame"
-                for c, w in STAND_INS[LOGISTIC][1].items()) + """)) where rn<=2""",
+                f"select entity_id, '{c}' as feature, round({value}*({w}::double),6) as contribution from frame"
+                for c, value, w in [(c, c, w) for c, w in EXPLAINED_NUMERIC.items()]
+                + [(c, f"length({c})", w) for c, w in EXPLAINED_NOMINAL.items()]) + """)) where rn<=10""",
     "champion_decision": f"""select round({_gain('recall_at_capacity')},6) as recall_improvement,
         round({_gain('pr_auc')},6) as pr_auc_improvement, {_BRIER} as calibration_acceptable,
         case when {_WINS} then '{ADDITIVE}' else '{LOGISTIC}' end as champion,

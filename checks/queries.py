@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.stages import LOGISTIC, STAND_INS, Stages, stages
+from checks.stages import EXPLAINED_NOMINAL, EXPLAINED_NUMERIC, Stages, stages
 from riskrank.models.additive import additive_contributions
 from riskrank.models.logistic import scaled_inputs, fit_scaling, logistic_contributions
 from riskrank.operators import (
@@ -437,14 +437,14 @@ def top_true_positive(s: Stages) -> DataFrame:
 
 @register
 def local_explanation(s: Stages) -> DataFrame:
-    """Strongest two terms of a fixed-weight model for every customer."""
-    _, weights = STAND_INS[LOGISTIC]
+    """Strongest ten of 19 fixed-weight terms for every customer."""
+    terms = [(c, F.col(c) * w) for c, w in EXPLAINED_NUMERIC.items()]
+    terms += [(c, F.length(c) * w) for c, w in EXPLAINED_NOMINAL.items()]
     entries = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.round(F.col(c) * w, 6).alias("contribution"))
-        for c, w in weights.items()
+        F.struct(F.lit(c).alias("feature"), F.round(value, 6).alias("contribution"))
+        for c, value in terms
     ])
-    return explain.local_explanation(
-        s.frame.select("entity_id", entries.alias("contributions")), top=2)
+    return explain.local_explanation(s.frame.select("entity_id", entries.alias("contributions")))
 
 
 @register

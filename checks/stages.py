@@ -31,6 +31,32 @@ STAND_INS = {
                       "cross_bank_ratio": -1.5}),
 }
 
+# Fixed weights of a stand-in explanation over all 19 inputs; a nominal input
+# enters by the length of its value.
+EXPLAINED_NUMERIC = {
+    "log_transaction_count": 0.35,
+    "log_counterparty_count": 0.3,
+    "log_transactions_per_active_day": -0.2,
+    "maximum_amount_zscore": 0.15,
+    "cross_bank_ratio": -2.0,
+    "self_transfer_ratio": 3.0,
+    "unusually_large_tx_ratio": 9.0,
+    "log_incoming_outgoing_ratio": -0.6,
+    "log_account_count": 0.25,
+    "log_bank_count": -0.45,
+    "log_currency_count": 0.5,
+    "log_payment_format_count": -0.1,
+}
+EXPLAINED_NOMINAL = {
+    "customer_type": 0.02,
+    "country_risk": -0.11,
+    "pep_status": 0.07,
+    "ubo_complexity": 0.05,
+    "industry_risk": -0.03,
+    "onboarding_channel": 0.04,
+    "kyc_documentation": -0.06,
+}
+
 
 class Stages:
     def __init__(self, spark: SparkSession, folder: str):
