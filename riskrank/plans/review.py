@@ -11,10 +11,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from riskrank.models.additive import Settings, fit_additive, score_additive
-from riskrank.models.logistic import fit_logistic, score_logistic
-from riskrank.operators import behaviour, evaluate, mapping, prepare, profile, scorecard, stats
-from riskrank.operators import decide, temporal
+from riskrank.models.additive import (
+    Settings, additive_contributions, fit_additive, score_additive,
+)
+from riskrank.models.logistic import fit_logistic, logistic_contributions, score_logistic
+from riskrank.operators import (
+    audit, behaviour, decide, evaluate, explain, mapping, prepare, profile, scorecard, stats,
+    temporal,
+)
 from riskrank.operators.joins import hot_digests
 from riskrank.session import materialise
 from riskrank.sources.files import read_table, write_table
@@ -53,8 +57,10 @@ def build_features(accounts_raw: DataFrame, transactions_raw: DataFrame, windows
     """Everything up to one feature row per customer."""
     t: dict[str, DataFrame] = {}
     t["customer_accounts"] = keep("customer_accounts", mapping.customer_accounts(accounts_raw))
-    enriched = mapping.enrich_transactions(
-        mapping.clean_transactions(transactions_raw), t["customer_accounts"])
+    # Kept typed: the hot-key pass and the join then read columns instead of parsing the input twice.
+    t["clean_transactions"] = keep(
+        "clean_transactions", mapping.clean_transactions(transactions_raw))
+    enriched = mapping.enrich_transactions(t["clean_transactions"], t["customer_accounts"])
     # Sorted inside each task, without a shuffle: row groups then cover few days
     # and a date window skips most of them.
     t["enriched_transactions"] = keep(
@@ -77,10 +83,40 @@ def build_features(accounts_raw: DataFrame, transactions_raw: DataFrame, windows
     return t
 
 
+def report_tables(review: Review, accounts_raw: DataFrame,
+                  transactions_raw: DataFrame) -> dict[str, DataFrame]:
+    """The reports on a run's stage tables and models, evaluated when they are read."""
+    t, models = review.tables, review.models
+    frame, scored = t["model_frame"], t["model_scores"]
+    test = evaluate.score_table(scored.filter("split = 'test'"), evaluate.ALL_MODELS)
+    ranked = evaluate.ranked_scores(test)
+    return {
+        "input_row_counts": audit.row_counts(
+            {"transactions": transactions_raw, "accounts": accounts_raw}),
+        "transaction_null_counts": audit.null_counts_long(transactions_raw),
+        "mapping_summary": mapping.mapping_summary(t["enriched_transactions"]),
+        "daily_profile": audit.daily_profile(t["enriched_transactions"]),
+        "attribute_distribution": profile.attribute_distribution(t["customer_profiles"]),
+        "rating_distribution": scorecard.rating_distribution(t["customer_scorecard"]),
+        "rating_outcomes": scorecard.rating_outcomes(t["customer_scorecard"]),
+        "feature_means": behaviour.feature_means(t["customer_features"]),
+        "median_comparison": stats.median_comparison(t["customer_features"]),
+        "precision_recall_curve": evaluate.precision_recall_curve(ranked),
+        "probability_summary": evaluate.probability_summary(ranked),
+        "calibration": evaluate.calibration(ranked),
+        "global_importance": explain.global_importance(
+            frame.filter("split = 'train'"), models["additive"]),
+        "additive_explanations": explain.local_explanation(
+            additive_contributions(scored, models["additive"])),
+        "logistic_explanations": explain.local_explanation(
+            logistic_contributions(frame, models["logistic"])),
+    }
+
+
 def run_review(accounts_raw: DataFrame, transactions_raw: DataFrame,
                windows: Windows = PUBLISHED_WINDOWS, algo: str = "xxhash64",
                settings: Settings = Settings(), keep: Keep = keep_in_scratch) -> Review:
-    """All stages, both tests, both models, the comparison and the decision."""
+    """All stages, both tests, both models, the comparison, the decision and the reports."""
     review = Review(build_features(accounts_raw, transactions_raw, windows, algo, keep))
     t = review.tables
     features = t["customer_features"]
@@ -99,4 +135,5 @@ def run_review(accounts_raw: DataFrame, transactions_raw: DataFrame,
     t["model_comparison"] = keep("model_comparison", evaluate.model_comparison(
         evaluate.score_table(scored, evaluate.ALL_MODELS)))
     t["champion_decision"] = decide.champion_decision(t["model_comparison"])
+    t.update(report_tables(review, accounts_raw, transactions_raw))
     return review

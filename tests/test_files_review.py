@@ -94,6 +94,16 @@ def test_whole_review(inputs, tmp_path):
     assert tables["categorical_statistical_tests"].count() == 8
     assert tables["champion_decision"].first().champion is not None
     assert (tmp_path / "customer_features" / "_SUCCESS").exists()
+    assert (tmp_path / "clean_transactions" / "_SUCCESS").exists()
+    assert tables["mapping_summary"].count() == 1
+    assert tables["attribute_distribution"].count() > 7
+    assert tables["feature_means"].count() == 2
+    assert {r.model for r in tables["calibration"].select("model").distinct().collect()} == {
+        r.model for r in tables["model_comparison"].collect()}
+    assert tables["global_importance"].count() == 12
+    customers = tables["model_frame"].count()
+    assert tables["additive_explanations"].count() == 10 * customers
+    assert tables["logistic_explanations"].count() == 10 * customers
 
 
 def test_published_windows_are_the_default():
