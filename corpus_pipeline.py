@@ -16,6 +16,9 @@ from riskrank.llm import line_dedup, near_dup, packing, secrets, toxicity
 from riskrank.llm.common import DOCUMENT_COLUMNS, table
 from riskrank.session import materialise
 
+# Lines are counted over distinct texts: the copies that near_dedup links later are one page.
+LINES = line_dedup.Boilerplate(by_text=True)
+
 
 def _documents(df: DataFrame) -> DataFrame:
     """The columns of documents, the length following the text."""
@@ -27,7 +30,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def boilerplate_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(line_dedup.drop_boilerplate(docs.select(*DOCUMENT_COLUMNS)))
+    return _documents(line_dedup.drop_boilerplate(docs.select(*DOCUMENT_COLUMNS), LINES))
 
 
 def one_near_duplicate_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,19 @@
+"""Lines of copies and of many hosts in the pipeline, and keys the secret scan must not lose."""
+
+import corpus_pipeline
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def cleaned(spark, rows):
+    docs = spark.createDataFrame([(i, text, "en", host, 1) for i, text, host in rows], DOCUMENTS)
+    return {r.doc_id: r.text for r in corpus_pipeline.boilerplate_lines_go(spark, docs, "").collect()}
+
+
+def test_copies_do_not_vote_for_their_own_lines(spark):
+    body = "first line of the text\nsecond line of the text"
+    rows = [(i, body, "host") for i in range(30)]
+    rows += [(100 + i, f"own text {i}\nmenu" if i < 20 else f"own text {i}", "host") for i in range(60)]
+    got = cleaned(spark, rows)
+    assert all(got[i] == body for i in range(30))
+    assert all(got[100 + i] == f"own text {i}" for i in range(60))
