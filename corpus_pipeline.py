@@ -16,8 +16,9 @@ from riskrank.llm import line_dedup, near_dup, packing, secrets, toxicity
 from riskrank.llm.common import DOCUMENT_COLUMNS, table
 from riskrank.session import materialise
 
-# Lines are counted over distinct texts: the copies that near_dedup links later are one page.
-LINES = line_dedup.Boilerplate(by_text=True)
+# Lines are counted over distinct texts: the copies that near_dedup links later are one page. On sf0.1, check_s
+# and check_h body lines stand on at most 4.7 % of a host's texts, the repeated line on 8.6 % or more.
+LINES = line_dedup.Boilerplate(ratio=0.05, by_text=True)
 
 
 def _documents(df: DataFrame) -> DataFrame:

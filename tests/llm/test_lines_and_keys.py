@@ -17,3 +17,10 @@ def test_copies_do_not_vote_for_their_own_lines(spark):
     got = cleaned(spark, rows)
     assert all(got[i] == body for i in range(30))
     assert all(got[100 + i] == f"own text {i}" for i in range(60))
+
+
+def test_a_line_at_one_rate_goes_on_every_host(spark):
+    rows = [(1000 * h + i, f"own text {h} {i}" + ("\nmenu" if i < 7 + h else ""), f"host{h}")
+            for h in range(5) for i in range(100)]
+    got = cleaned(spark, rows)
+    assert all(text == f"own text {key // 1000} {key % 1000}" for key, text in got.items())
