@@ -2,8 +2,8 @@
 
 Kinds, in the order that breaks ties: ``assign``, ``access``, ``hex``, ``entropy``.
 The first three are patterns. ``entropy`` looks at candidate strings, which are
-maximal runs of token characters that no pattern span touches: a window moves
-over the run, the symbol counts and the sum of c*log2(c) are kept up to date as
+maximal runs of token characters in what pattern spans and the segments of
+allow-listed words leave of the text: a window moves over the run, the symbol counts and the sum of c*log2(c) are kept up to date as
 one symbol enters and one leaves, and the window's Shannon entropy is compared
 with the limit of the run's character class. Allow-listed runs are let go.
 
@@ -25,21 +25,26 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
-# Character class: what all symbols of the run must be, the alphabet, least entropy of a window in bits.
+# Character class, the first that fits: what all symbols of the run must be, the alphabet, least entropy of a window in bits.
 # A window of 20 symbols has 4.32 bits at most; English words of that length stay below 3.6.
 CLASSES = [
     ("hex", "^[0-9A-Fa-f]+$", "0123456789abcdef", 3.0),
     ("upper", "^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6),
-    ("mixed", "^[A-Za-z0-9+/=_-]+$",
+    ("mixed", "^(?![a-z0-9]+$)[A-Za-z0-9+/=_-]+$",
      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.8),
+    ("lower", "^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 3.6),
 ]
 # Runs that look random but are not secret: all one case without a digit (words, slugs of words),
-# numbers, UUIDs, placeholders and counting sequences.
+# numbers and UUIDs.
 ALLOWED = [
     r"^[a-z+/=_-]+$", r"^[A-Z+/=_-]+$", r"^[A-Z]?[a-z]+([+/=_-]+[A-Z]?[a-z]+)*$", r"^[0-9+/=_-]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|your[_-]?(key|token|secret)|xxxx|0123456789|abcdefgh",
 ]
+# Placeholders and counting sequences, with the segments between / = _ - that hold them.
+EXCUSED = (r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx"
+           r"|0123456789|abcdefgh)[A-Za-z0-9+]*")
+# Stands for a symbol that is already judged; not a character of any text.
+GONE = "\uffff"
 
 
 def _spans(text: Column, found: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -60,6 +65,21 @@ def _spans(text: Column, found: Column, pattern: str, kind: int, keep=None) -> C
     return F.when(F.size(found) > 0, F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(none)
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with every symbol of ``spans``, and one separator next to them, as ``GONE``; no place moves."""
+    def step(state, s):
+        begin = F.greatest(state["at"], s["start"])
+        gap = F.substring(text, state["at"] + 1, begin - state["at"])
+        blank = F.repeat(F.lit(GONE), F.greatest(s["end"] - begin, F.lit(0)))
+        return F.struct(F.greatest(begin, s["end"]).alias("at"), F.concat(state["text"], gap, blank).alias("text"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    left = F.aggregate(F.array_sort(spans), start, step, lambda state: F.concat(
+        state["text"], F.substring(text, state["at"] + 1, F.length(text))))
+    near = f"(?<={GONE})[/=_-]|[/=_-](?={GONE})"
+    return F.when(F.size(spans) > 0, F.regexp_replace(left, near, GONE)).otherwise(text)
+
+
 def _clogc(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
@@ -114,7 +134,6 @@ def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secret_spans
         "_scan_assign": F.regexp_extract_all("_scan_text", F.lit(ASSIGN), F.lit(0)),
         "_scan_access": F.regexp_extract_all("_scan_text", F.lit(ACCESS), F.lit(0)),
         "_scan_hex": F.regexp_extract_all("_scan_text", F.lit(HEX), F.lit(0)),
-        "_scan_runs": F.regexp_extract_all("_scan_text", F.lit(CANDIDATE), F.lit(0)),
     })
     body = F.col("_scan_text")
     long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= LEAST_VALUE
@@ -122,12 +141,17 @@ def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secret_spans
         _spans(body, F.col("_scan_assign"), ASSIGN, 0, long_enough),
         _spans(body, F.col("_scan_access"), ACCESS, 1),
         _spans(body, F.col("_scan_hex"), HEX, 2)))
-    inner = inner.withColumn("_scan_more", F.filter(
-        _spans(body, F.col("_scan_runs"), CANDIDATE, 3, _suspicious),
-        lambda s: ~F.exists("_scan_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    inner = inner.withColumn("_scan_left", _without(body, F.col("_scan_base")))
+    left = F.col("_scan_left")
+    inner = inner.withColumn("_scan_words", F.when(left.rlike(CANDIDATE), F.regexp_extract_all(
+        left, F.lit(EXCUSED), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    inner = inner.withColumn("_scan_left", _without(left, _spans(left, F.col("_scan_words"), EXCUSED, 3)))
+    inner = inner.withColumn("_scan_runs", F.regexp_extract_all("_scan_left", F.lit(CANDIDATE), F.lit(0)))
+    inner = inner.withColumn("_scan_more", _spans(left, F.col("_scan_runs"), CANDIDATE, 3, _suspicious))
     spans = F.array_sort(F.concat("_scan_base", "_scan_more"))
     return inner.withColumn(out, spans).drop(
-        "_scan_text", "_scan_assign", "_scan_access", "_scan_hex", "_scan_runs", "_scan_base", "_scan_more")
+        "_scan_text", "_scan_assign", "_scan_access", "_scan_hex", "_scan_runs", "_scan_base", "_scan_more",
+        "_scan_left", "_scan_words")
 
 
 def written(spans: Column) -> Column:
