@@ -52,11 +52,15 @@ class Coder:
     Words met before are looked up. A new word is a stem and the stops behind it, and
     stems are coded by the tokenizer, many in one call: every word of letters ends in
     a token that carries the vocabulary's word end, which tells them apart again.
+    Texts that hold an added token go whole through the tokenizer as the file has it.
     """
 
     def __init__(self, path: str):
+        self.whole = Tokenizer.from_file(path)
+        added = [re.escape(token.content) for token in self.whole.get_added_tokens_decoder().values()]
+        self.uncut = re.compile("|".join([ODD_SPACE.pattern, *added]))
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a stem is in lower case, its word may hold no added token
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
@@ -66,6 +70,9 @@ class Coder:
     def _coded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _coded_whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, words: Iterable[str]) -> None:
         if len(self.known) > WORD_CACHE:
             self.known.clear()
@@ -103,14 +110,14 @@ class Coder:
 
     def all_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [None if self.uncut.search(t) else t.split() for t in texts]
         fresh = {w for words in split if words for w in words if w not in self.known}
         if fresh:
             self._learn(fresh)
             if len(self.known) < len(fresh) or not all(w in self.known for words in split if words for w in words):
                 self._learn({w for words in split if words for w in words})
         known = self.known
-        out = [self._coded(t) if words is None else b"".join([known[w] for w in words])
+        out = [self._coded_whole(t) if words is None else b"".join([known[w] for w in words])
                for t, words in zip(texts, split)]
         for word in fresh:
             if len(word) > CACHED_CHARS:
