@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskrank.llm import byte_bpe, chat, line_dedup, near_dup, packing, quality, secrets, sharding, toxicity, vector_dup
+from riskrank.llm import (
+    byte_bpe, chat, line_dedup, near_dup, packing, piece_bpe, quality, secrets, sharding, toxicity, vector_dup)
 from riskrank.llm.common import table
 from riskrank.llm.sql import SQL
 
@@ -17,6 +18,7 @@ ORACLES: dict[str, str] = dict(SQL)
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -88,6 +90,11 @@ def op10_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORD_VOCABULARY)
 
 
+@query
+def op11_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_bpe.round_trip(table(spark, folder, "documents"), PIECE_MODEL)
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
