@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskrank.llm import (
-    byte_bpe, chat, line_dedup, near_dup, packing, piece_bpe, quality, secrets, sharding, toxicity, vector_dup)
+    byte_bpe, chat, hard_negatives, lexical, line_dedup, near_dup, packing, piece_bpe, quality, secrets, sharding,
+    toxicity, vector_dup)
 from riskrank.llm.common import table
 from riskrank.llm.sql import SQL
 
@@ -95,6 +96,17 @@ def op11_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return piece_bpe.round_trip(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
