@@ -8,6 +8,7 @@ pruning and row-group statistics.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
@@ -67,7 +68,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.__dict__["_scratch_path"] = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove stage tables that ``materialise`` returned and that nothing will read again.
+
+    Shuffle files of finished jobs go when the driver's JVM notices that nothing refers to
+    them, which a long iteration with a large heap may put off until disks are full. So
+    the JVM is asked to look now.
+    """
+    for table in tables:
+        spark, path = table.sparkSession, table.__dict__.get("_scratch_path")
+        if path is None:
+            raise ValueError("not a stage table")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def use_all_slots(scan: DataFrame) -> DataFrame:
