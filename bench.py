@@ -26,9 +26,9 @@ QUERIES = [
     "enriched_transactions", "population_target", "profile_md5", "attribute_distribution",
     "scorecard_points", "rating_distribution", "directional_events", "amount_zscore",
     "customer_activity", "customer_features", "feature_means", "median_comparison",
-    "mann_whitney", "chi_square", "stratified_split", "curve_areas", "calibration",
-    "model_comparison", "global_importance", "additive_local_contributions",
-    "logistic_local_contributions", "champion_decision",
+    "mann_whitney", "chi_square", "stratified_split", "curve_areas_stand_in", "calibration_stand_in",
+    "model_comparison_stand_in", "global_importance", "additive_local_contributions",
+    "logistic_local_contributions", "champion_decision_stand_in",
 ]
 
 

@@ -11,12 +11,38 @@ import re
 from checks.stages import (
     ADDITIVE, EXPLAINED_NOMINAL, EXPLAINED_NUMERIC, LOGISTIC, SCORECARD, STAND_INS,
 )
-from riskrank.functions.maths import ERFC_FIT
-from riskrank.operators import decide
-from riskrank.operators.scorecard import RULES
-from riskrank.schemas import (
-    MODEL_NUMERIC, PROFILE_ATTRIBUTES, TESTED_CATEGORICAL, TESTED_NUMERIC, UNBOUNDED,
-)
+
+# Fixed values, stated here again on purpose: a change in the library must turn its twins red.
+RULES = [
+    ("country_risk", "country_points",
+     {"High": (20, "HIGH_RISK_COUNTRY"), "Medium": (8, "MEDIUM_RISK_COUNTRY")}),
+    ("pep_status", "pep_points",
+     {"Direct": (25, "DIRECT_PEP"), "Associate": (15, "PEP_ASSOCIATE")}),
+    ("ubo_complexity", "ubo_points",
+     {"Complex": (20, "COMPLEX_UBO_STRUCTURE"), "Moderate": (8, "MODERATE_UBO_COMPLEXITY")}),
+    ("industry_risk", "industry_points",
+     {"Cash Intensive": (15, "CASH_INTENSIVE_INDUSTRY"), "Elevated": (7, "ELEVATED_INDUSTRY_RISK")}),
+    ("onboarding_channel", "channel_points", {"Remote": (5, "REMOTE_ONBOARDING")}),
+    ("kyc_documentation", "documentation_points", {"Incomplete": (15, "INCOMPLETE_KYC_DOCUMENTATION")}),
+]
+ERFC_FIT = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807,
+            -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
+PROFILE_ATTRIBUTES = ["customer_type", "country_risk", "pep_status", "ubo_complexity", "industry_risk",
+                      "onboarding_channel", "kyc_documentation"]
+TESTED_CATEGORICAL = PROFILE_ATTRIBUTES + ["kyc_risk_rating"]
+TESTED_NUMERIC = ["transaction_count", "counterparty_count", "transactions_per_active_day", "maximum_amount_zscore",
+                  "cross_bank_ratio", "self_transfer_ratio", "unusually_large_tx_ratio", "incoming_outgoing_ratio",
+                  "account_count", "bank_count", "currency_count", "payment_format_count"]
+UNBOUNDED = ["transaction_count", "counterparty_count", "transactions_per_active_day", "incoming_outgoing_ratio",
+             "account_count", "bank_count", "currency_count", "payment_format_count"]
+MODEL_NUMERIC = ["log_transaction_count", "log_counterparty_count", "log_transactions_per_active_day",
+                 "maximum_amount_zscore", "cross_bank_ratio", "self_transfer_ratio", "unusually_large_tx_ratio",
+                 "log_incoming_outgoing_ratio", "log_account_count", "log_bank_count", "log_currency_count",
+                 "log_payment_format_count"]
+REASON_CHALLENGER = ("EBM provides material performance improvement while retaining acceptable calibration "
+                     "and intrinsic interpretability.")
+REASON_INCUMBENT = ("EBM does not provide enough additional value to justify its greater modelling and "
+                    "validation complexity.")
 
 TX_COLUMNS = ["transaction_timestamp", "from_bank_id", "from_account", "to_bank_id", "to_account",
               "round(amount_paid,4) as amount_paid", "round(amount_received,4) as amount_received",
@@ -356,6 +382,10 @@ FINAL: dict[str, str] = {
         round(sum("Amount Received"),2) as received, cast(sum("Is Laundering") as bigint) as labelled,
         min("Timestamp") as first_seen from transactions_raw group by 1, 2""",
     "csv_accounts": "select * from accounts_raw",
+    "csv_quarantine": """select count(*) as rows_read, count(*) - count_if(faulty) as rows_parsed,
+        count_if(faulty) as rows_quarantined from (
+          select cast(substr("Account2",2) as bigint) % 17 = 0 or cast(substr("Account2",2) as bigint) % 23 = 0
+            as faulty from transactions_raw)""",
     "text_lines": """select "Entity ID"||' -> '||"Bank ID" as value, count(*) as n
         from accounts_raw group by 1""",
     "table_overwrite": """select payment_currency, count(*) as n, cast(sum(is_laundering) as bigint) as labelled,
@@ -473,30 +503,42 @@ FINAL: dict[str, str] = {
     "one_hot_inputs": " union all ".join(
         f"""select entity_id, '{c}_'||{c} as term, 1.0::double as value from frame
           where {c} in (select {c} from frame where split='train')""" for c in PROFILE_ATTRIBUTES),
-    "capacity_threshold": "select model, round(threshold,6) as threshold from thr",
-    "capacity_metrics": f"select model, {_rounded(CAP_METRICS)} from cap",
-    "curve_areas": f"select model, {_rounded(['pr_auc', 'roc_auc'])} from areas",
-    "pr_curve": """select model, round(score,6) as threshold, round(tp/flagged,6) as precision,
+    "logistic_optimality": "select unnest([" + ", ".join(f"'{c}'" for c in MODEL_NUMERIC) + """]) as term,
+        true as at_optimum union all select '(intercept)', true """ + " ".join(
+        f"""union all select distinct '{c}_'||{c}, true from frame where split='train'"""
+        for c in PROFILE_ATTRIBUTES),
+    "logistic_balance": """select count(*) as customers, round(sum(future_aml_event)::double,1) as expected_positives
+        from frame where split='train'""",
+    "logistic_margins": "select entity_id, split, true as agrees from frame",
+    "additive_fit_checks": "select unnest([" + ", ".join(
+        f"'{c}'" for c in MODEL_NUMERIC + PROFILE_ATTRIBUTES + ["hold-out loss"]) + "]) as subject, true as holds",
+    "additive_margins": "select entity_id, split, true as agrees from frame",
+    "importance_agreement": "select unnest([" + ", ".join(
+        f"'{c}'" for c in MODEL_NUMERIC + PROFILE_ATTRIBUTES) + "]) as feature, true as agrees",
+    "capacity_threshold_stand_in": "select model, round(threshold,6) as threshold from thr",
+    "capacity_metrics_stand_in": f"select model, {_rounded(CAP_METRICS)} from cap",
+    "curve_areas_stand_in": f"select model, {_rounded(['pr_auc', 'roc_auc'])} from areas",
+    "pr_curve_stand_in": """select model, round(score,6) as threshold, round(tp/flagged,6) as precision,
         round(tp/(sum(pos) over (partition by model)),6) as recall from points_pr
         union all select distinct model, null, 1.0, 0.0 from test""",
-    "prevalence": "select model, round(avg(y),6) as prevalence from test group by 1",
-    "probability_summary": """select model, round(min(score),6) as minimum,
+    "prevalence_stand_in": "select model, round(avg(y),6) as prevalence from test group by 1",
+    "probability_summary_stand_in": """select model, round(min(score),6) as minimum,
         round(median(score),6) as median, round(quantile_cont(score,0.95),6) as p95,
         round(quantile_cont(score,0.99),6) as p99, round(max(score),6) as maximum
         from test group by 1""",
-    "calibration": """select t.model, len(list_filter(edges, lambda e: e < score)) as bin,
+    "calibration_stand_in": """select t.model, len(list_filter(edges, lambda e: e < score)) as bin,
         count(*) as customers, round(avg(score),6) as mean_predicted, round(avg(y),6) as observed_rate
         from test t join edges e on t.model=e.model group by 1, 2""",
-    "model_comparison": f"select model, {_rounded(METRICS)} from comparison",
-    "metric_chart": " union all ".join(
+    "model_comparison_stand_in": f"select model, {_rounded(METRICS)} from comparison",
+    "metric_chart_stand_in": " union all ".join(
         f"select model, '{m}' as metric, round({m},6) as value from comparison"
         for m in ("pr_auc", "recall_at_capacity", "precision_at_capacity")),
-    "test_predictions": f"""select entity_id, future_aml_event,
+    "test_predictions_stand_in": f"""select entity_id, future_aml_event,
         {_rounded(["scorecard_score", "logistic_probability", "ebm_probability"])}
         from wide where split='test'""",
-    "top_true_positive": """select entity_id, ebm_probability from wide
+    "top_true_positive_stand_in": """select entity_id, ebm_probability from wide
         where split='test' and future_aml_event=1 order by ebm_probability desc, entity_id limit 1""",
-    "local_explanation": """
+    "local_explanation_stand_in": """
         select entity_id, row_number() over (partition by entity_id order by contribution, feature) as place,
           feature, contribution from (
             select *, row_number() over (partition by entity_id order by abs(contribution) desc, feature) as rn
@@ -504,10 +546,10 @@ FINAL: dict[str, str] = {
                 f"select entity_id, '{c}' as feature, round({value}*({w}::double),6) as contribution from frame"
                 for c, value, w in [(c, c, w) for c, w in EXPLAINED_NUMERIC.items()]
                 + [(c, f"length({c})", w) for c, w in EXPLAINED_NOMINAL.items()]) + """)) where rn<=10""",
-    "champion_decision": f"""select round({_gain('recall_at_capacity')},6) as recall_improvement,
+    "champion_decision_stand_in": f"""select round({_gain('recall_at_capacity')},6) as recall_improvement,
         round({_gain('pr_auc')},6) as pr_auc_improvement, {_BRIER} as calibration_acceptable,
         case when {_WINS} then '{ADDITIVE}' else '{LOGISTIC}' end as champion,
-        case when {_WINS} then '{decide.REASON_CHALLENGER}' else '{decide.REASON_INCUMBENT}' end
+        case when {_WINS} then '{REASON_CHALLENGER}' else '{REASON_INCUMBENT}' end
           as decision_reason""",
 }
 

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from checks.stages import EXPLAINED_NOMINAL, EXPLAINED_NUMERIC, Stages, stages
 from riskrank.models.additive import additive_contributions
-from riskrank.models.logistic import scaled_inputs, fit_scaling, logistic_contributions
+from riskrank.models import store
+from riskrank.models.logistic import (
+    fit_scaling, logistic_contributions, optimality, scaled_inputs, score_weights, weights_of,
+)
 from riskrank.operators import (
     audit, behaviour, decide, evaluate, explain, mapping, prepare, profile, scorecard, stats,
     temporal,
 )
-from riskrank.schemas import MODEL_NUMERIC
+from riskrank.schemas import MODEL_NUMERIC, TX_RAW
 from riskrank.session import scratch_path
 from riskrank.sources import files
 
@@ -49,6 +52,21 @@ def csv_transactions(s: Stages) -> DataFrame:
         F.sum("Is Laundering").alias("labelled"), F.min("Timestamp").alias("first_seen")), 2)
 
 
+@register
+def csv_quarantine(s: Stages) -> DataFrame:
+    """A transactions file in which some customers' amounts are no numbers and other customers' lines break off."""
+    path = scratch_path(s.spark, "csv-faulty")
+    raw = s.transactions_raw
+    number = F.substring("Account2", 2, 20).cast("bigint")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw.columns]
+    amount = raw.columns.index("Amount Received")
+    cells[amount] = F.when(number % 17 == 0, F.lit("n/a")).otherwise(cells[amount])
+    lines = F.when(number % 23 == 0, F.concat_ws(",", *cells[:4])).otherwise(F.concat_ws(",", *cells))
+    raw.select(lines.alias("value")).write.text(path)
+    good, bad = files.read_checked(s.spark, path, TX_RAW, header=False)
+    return files.quarantine_summary(good, bad)
+
+
 @register
 def csv_accounts(s: Stages) -> DataFrame:
     path = scratch_path(s.spark, "csv-accounts")
@@ -362,63 +380,151 @@ def additive_scores(s: Stages) -> DataFrame:
     return s.model_scores.select("entity_id", "split", "future_aml_event", "ebm_probability")
 
 
+# Fits, certified without fitting again, and models that went through their tables
+
+NEAR = 1e-9
+
+
+@register
+def logistic_optimality(s: Stages) -> DataFrame:
+    """Whether the objective's gradient vanishes, term by term."""
+    return optimality(s.train, weights_of(s.logistic_fit)).select("term", "at_optimum")
+
+
+@register
+def logistic_balance(s: Stages) -> DataFrame:
+    """A free intercept makes the probabilities of the training rows add up to their positives."""
+    return s.model_scores.filter(F.col("split") == "train").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.round(F.sum("logistic_probability"), 1).alias("expected_positives"))
+
+
+@register
+def logistic_margins(s: Stages) -> DataFrame:
+    """Whether the weights read back from their table give the fit's probability, and their terms its log-odds."""
+    weights = s.stored_logistic
+    scored = logistic_contributions(score_weights(s.model_scores, weights, "reloaded"), weights)
+    total = F.aggregate("contributions", F.lit(weights.intercept), lambda t, x: t + x["contribution"])
+    odds = F.log(F.col("logistic_probability") / (1 - F.col("logistic_probability")))
+    return scored.select("entity_id", "split", (
+        (F.abs(F.col("reloaded") - F.col("logistic_probability")) < NEAR)
+        & (F.abs(total - odds) < 1e-6)).alias("agrees"))
+
+
+@register
+def additive_fit_checks(s: Stages) -> DataFrame:
+    """Hold-out loss below that of the intercept alone in every bag; terms centred on the rows the bags trained on."""
+    model = s.additive_fit
+    explained = store.explain_additive(s.train, s.stored_additive)
+    means = explained.select(F.inline("contributions")).groupBy("feature").agg(
+        F.avg("contribution").alias("mean"), F.max(F.abs("contribution")).alias("most"))
+    learnt = all(best < first for best, first in zip(model.losses, model.first_losses))
+    return means.select(
+        F.col("feature").alias("subject"),
+        (F.abs("mean") <= 0.05 * F.greatest("most", F.lit(NEAR))).alias("holds")).union(
+        s.spark.createDataFrame([("hold-out loss", learnt)], "subject string, holds boolean"))
+
+
+@register
+def additive_margins(s: Stages) -> DataFrame:
+    """Whether the terms read back from the model's table add up to the fit's log-odds."""
+    explained = store.explain_additive(s.model_scores, s.stored_additive)
+    odds = F.log(F.col("ebm_probability") / (1 - F.col("ebm_probability")))
+    return explained.select("entity_id", "split", (
+        F.abs(store.additive_margin(s.stored_additive) - odds) < 1e-6).alias("agrees"))
+
+
+@register
+def importance_agreement(s: Stages) -> DataFrame:
+    """Whether mean absolute contributions of the stored model equal the importance of the fitted one."""
+    own = store.importance(store.explain_additive(s.train, s.stored_additive))
+    fitted = explain.global_importance(s.train, s.additive_fit, top=None).withColumnRenamed("importance", "fitted")
+    return own.join(fitted, "feature").select(
+        "feature", (F.abs(F.col("importance") - F.col("fitted")) < NEAR).alias("agrees"))
+
+
 @register
 def fitted_model_comparison(s: Stages) -> DataFrame:
     return evaluate.model_comparison(evaluate.score_table(s.model_scores, evaluate.ALL_MODELS))
 
 
+@register
+def fitted_capacity_metrics(s: Stages) -> DataFrame:
+    validation = s.fitted_scores.filter(F.col("split") == "validation")
+    test = s.fitted_scores.filter(F.col("split") == "test")
+    return evaluate.capacity_metrics(test, evaluate.capacity_threshold(validation))
+
+
+@register
+def fitted_calibration(s: Stages) -> DataFrame:
+    return evaluate.calibration(evaluate.ranked_scores(s.fitted_scores.filter(F.col("split") == "test")))
+
+
+@register
+def fitted_champion_decision(s: Stages) -> DataFrame:
+    return decide.champion_decision(evaluate.model_comparison(s.fitted_scores))
+
+
+@register
+def fitted_case_explanation(s: Stages) -> DataFrame:
+    """The strongest terms of the test customer whom the additive model ranks first among the positives."""
+    test = s.model_scores.filter(F.col("split") == "test")
+    return explain.case_explanation(
+        explain.top_true_positive(test), additive_contributions(s.frame, s.additive_fit))
+
+
 # Evaluation, on fixed-weight stand-in models
 
 @register
-def capacity_threshold(s: Stages) -> DataFrame:
+def capacity_threshold_stand_in(s: Stages) -> DataFrame:
     validation = s.long_scores.filter(F.col("split") == "validation")
     return rounded(evaluate.capacity_threshold(validation))
 
 
 @register
-def capacity_metrics(s: Stages) -> DataFrame:
+def capacity_metrics_stand_in(s: Stages) -> DataFrame:
     validation = s.long_scores.filter(F.col("split") == "validation")
     return rounded(evaluate.capacity_metrics(
         s.test_scores, evaluate.capacity_threshold(validation)))
 
 
 @register
-def curve_areas(s: Stages) -> DataFrame:
+def curve_areas_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.curve_areas(s.ranked_test_scores))
 
 
 @register
-def pr_curve(s: Stages) -> DataFrame:
+def pr_curve_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.precision_recall_curve(s.ranked_test_scores))
 
 
 @register
-def prevalence(s: Stages) -> DataFrame:
+def prevalence_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.prevalence(s.test_scores))
 
 
 @register
-def probability_summary(s: Stages) -> DataFrame:
+def probability_summary_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.probability_summary(s.ranked_test_scores))
 
 
 @register
-def calibration(s: Stages) -> DataFrame:
+def calibration_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.calibration(s.ranked_test_scores))
 
 
 @register
-def model_comparison(s: Stages) -> DataFrame:
+def model_comparison_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.model_comparison(s.long_scores))
 
 
 @register
-def metric_chart(s: Stages) -> DataFrame:
+def metric_chart_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.metric_chart(evaluate.model_comparison(s.long_scores)))
 
 
 @register
-def test_predictions(s: Stages) -> DataFrame:
+def test_predictions_stand_in(s: Stages) -> DataFrame:
     return rounded(evaluate.test_predictions(s.stand_in_scores))
 
 
@@ -430,13 +536,13 @@ def global_importance(s: Stages) -> DataFrame:
 
 
 @register
-def top_true_positive(s: Stages) -> DataFrame:
+def top_true_positive_stand_in(s: Stages) -> DataFrame:
     test = s.stand_in_scores.filter(F.col("split") == "test")
     return explain.top_true_positive(test).select("entity_id", "ebm_probability")
 
 
 @register
-def local_explanation(s: Stages) -> DataFrame:
+def local_explanation_stand_in(s: Stages) -> DataFrame:
     """Strongest ten of 19 fixed-weight terms for every customer."""
     terms = [(c, F.col(c) * w) for c, w in EXPLAINED_NUMERIC.items()]
     terms += [(c, F.length(c) * w) for c, w in EXPLAINED_NOMINAL.items()]
@@ -458,5 +564,5 @@ def logistic_local_contributions(s: Stages) -> DataFrame:
 
 
 @register
-def champion_decision(s: Stages) -> DataFrame:
+def champion_decision_stand_in(s: Stages) -> DataFrame:
     return rounded(decide.champion_decision(evaluate.model_comparison(s.long_scores)))

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from riskrank.functions.maths import logistic
 from riskrank.models.additive import fit_additive, score_additive
-from riskrank.models.logistic import fit_logistic, score_logistic
+from riskrank.models import store
+from riskrank.models.logistic import fit_logistic, score_logistic, weights_of
 from riskrank.operators import behaviour, evaluate, mapping, prepare, profile, scorecard, temporal
 from riskrank.operators.joins import hot_digests
 from riskrank.schemas import ADDITIVE, LOGISTIC, SCORECARD
-from riskrank.session import materialise
+from riskrank.session import materialise, scratch_path
 from riskrank.sources import orders
 
 ALGO = "md5"  # reproducible in SQL; the library default is xxhash64
@@ -148,6 +149,23 @@ class Stages:
         return materialise(score_additive(
             score_logistic(self.frame, self.logistic_fit), self.additive_fit), "model-scores")
 
+    @cached_property
+    def stored_additive(self):
+        """The fitted model as another session would load it."""
+        path = scratch_path(self.spark, "additive-model")
+        store.save_model(store.additive_table(self.spark, self.additive_fit), path)
+        return store.load_additive(self.spark, path)
+
+    @cached_property
+    def stored_logistic(self):
+        path = scratch_path(self.spark, "logistic-model")
+        store.save_model(store.logistic_table(self.spark, weights_of(self.logistic_fit)), path)
+        return store.load_logistic(self.spark, path)
+
+    @property
+    def fitted_scores(self) -> DataFrame:
+        return evaluate.score_table(self.model_scores, evaluate.ALL_MODELS)
+
     @property
     def stand_in_scores(self) -> DataFrame:
         """The frame with the scorecard score and two fixed-weight probabilities."""

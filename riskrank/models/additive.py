@@ -1,4 +1,4 @@
-"""Additive log-odds model fitted by histogram boosting, one Spark job per round.
+"""Additive log-odds model fitted by cyclic histogram boosting, one Spark job per round.
 
 Every input becomes a small table of scores over its bins; a prediction is the
 intercept plus one table entry per input. Training rows are packed once into
@@ -8,6 +8,13 @@ merged in a tree; the driver only ever holds tables and those sums. The rounds
 run on one cached RDD of blocks, since planning a query for each of up to 2,000
 rounds costs more than the pass itself.
 
+Within a round the inputs step one after the other, and each sees what those before
+it did. No pass per input is needed for that: a step on input i changes the gradient
+of a bin of input j by the step times the curvature of the rows that the two bins
+share. These shared curvatures are summed in rounds 1, 2, 4, 8 and so on, as they
+change ever more slowly; the gradients themselves are exact in every round, so the
+curvatures decide the path of the fit, not where it ends.
+
 Cut points are exact and sums are fixed-point integers, so neither depends on
 the order in which partitions arrive: the same data and seed give the same model.
 """
@@ -48,6 +55,7 @@ class Settings:
     min_leaf_rows: int = 20
     max_leaves: int = 3
     seed: int = 42
+    shared_cells: int = 1 << 16  # pairs of inputs with more cells step from one gradient; 0: all of them do
 
 
 @dataclass(frozen=True)
@@ -69,6 +77,8 @@ class AdditiveModel:
     intercept: float
     terms: list[Term]
     rounds: list[int]
+    losses: list[float] = field(default_factory=list)  # mean hold-out loss of each bag's best round
+    first_losses: list[float] = field(default_factory=list)  # the same with the intercept alone
 
     @property
     def names(self) -> list[str]:
@@ -207,32 +217,81 @@ def _block_sums(block: tuple, starts: np.ndarray, tables: np.ndarray, intercepts
         inside = cells[:, ~out]
         grad = np.rint((y - p)[~out] * FIXED_POINT)
         curve = np.rint((p * (1.0 - p))[~out] * FIXED_POINT)
-        for line in inside:
+        for line, begin, end in zip(inside - starts[:, None], starts, [*starts[1:], width]):
             # bincount adds doubles: whole numbers below 2^53 stay exact.
-            total[0, bag, :width] += np.bincount(line, grad, width).astype(np.int64)
-            total[1, bag, :width] += np.bincount(line, curve, width).astype(np.int64)
-            total[2, bag, :width] += np.bincount(line, minlength=width)
+            total[0, bag, begin:end] += np.bincount(line, grad, end - begin).astype(np.int64)
+            total[1, bag, begin:end] += np.bincount(line, curve, end - begin).astype(np.int64)
+            total[2, bag, begin:end] += np.bincount(line, minlength=end - begin)
     return total
 
 
-def _round_sums(blocks: RDD, tables: np.ndarray, intercepts: np.ndarray,
-                offsets: np.ndarray, active: list[int]) -> dict[str, np.ndarray]:
-    """Sums of all blocks as (bags, bins + 1) arrays, whatever the data size."""
-    starts, shape = offsets[:-1], (3, tables.shape[0], tables.shape[1] + 1)
-    sent = blocks.context.broadcast((tables, intercepts, active))
+def _summed(blocks: RDD, sent: tuple, one_block, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of ``one_block(block, *sent)`` over all blocks, merged in a tree."""
+    held = blocks.context.broadcast(sent)
 
-    def sums(held: Iterator[tuple]) -> Iterator[np.ndarray]:
+    def sums(part: Iterator[tuple]) -> Iterator[np.ndarray]:
         total = np.zeros(shape, dtype=np.int64)
-        for block in held:
-            total += _block_sums(block, starts, *sent.value)
+        for block in part:
+            total += one_block(block, *held.value)
         yield total
 
     total = blocks.mapPartitions(sums).treeReduce(np.add)
-    sent.destroy()
+    held.destroy()
+    return total
+
+
+def _round_sums(blocks: RDD, tables: np.ndarray, intercepts: np.ndarray,
+                offsets: np.ndarray, active: list[int]) -> dict[str, np.ndarray]:
+    """Sums of all blocks as (bags, bins + 1) arrays, whatever the data size."""
+    total = _summed(blocks, (offsets[:-1], tables, intercepts, active), _block_sums,
+                    (3, tables.shape[0], tables.shape[1] + 1))
     return {"gradient": total[0] / FIXED_POINT, "curvature": total[1] / FIXED_POINT,
             "n": total[2].astype(float)}
 
 
+@dataclass(frozen=True)
+class Shared:
+    """Where the shared curvatures of a pair of inputs, the first below the second, lie in one flat array."""
+
+    places: dict[tuple[int, int], int]
+    widths: list[int]
+    size: int
+
+    @classmethod
+    def of(cls, terms: list[Term], most_cells: int) -> Shared:
+        widths, places, size = [t.bins + 1 for t in terms], {}, 0
+        for i, first in enumerate(widths):
+            for j in range(i + 1, len(widths)):
+                if first * widths[j] <= most_cells:
+                    places[i, j] = size
+                    size += first * widths[j]
+        return cls(places, widths, size)
+
+    def after(self, i: int, step: np.ndarray, curvatures: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each later input, how much a step on input ``i`` takes off the gradients of its bins."""
+        for j in range(i + 1, len(self.widths)):
+            at = self.places.get((i, j))
+            if at is not None:
+                cells = curvatures[at:at + self.widths[i] * self.widths[j]].reshape(self.widths[i], self.widths[j])
+                yield j, step @ cells[:len(step), :-1]
+
+
+def _block_shared(block: tuple, starts: np.ndarray, tables: np.ndarray, intercepts: np.ndarray,
+                  active: list[int], shared: Shared) -> np.ndarray:
+    """Fixed-point curvature sums of a block's rows per pair of bins, at the mean margin of the active bags."""
+    bins, _, _ = block
+    whole = bins.astype(np.int64)
+    cells = whole + starts[:, None]
+    margin = np.mean([intercepts[bag] + tables[bag][cells].sum(axis=0) for bag in active], axis=0)
+    p = 1.0 / (1.0 + np.exp(-margin))
+    curve = np.rint(p * (1.0 - p) * FIXED_POINT)
+    total = np.zeros(shared.size, dtype=np.int64)
+    for (i, j), at in shared.places.items():
+        size = shared.widths[i] * shared.widths[j]
+        total[at:at + size] += np.bincount(whole[i] * shared.widths[j] + whole[j], curve, size).astype(np.int64)
+    return total
+
+
 def _best_cut(g: np.ndarray, h: np.ndarray, n: np.ndarray, min_rows: int) -> tuple[float, int]:
     """Largest gain of cutting an ordered run of bins in two, and where (0 when none)."""
     if len(g) < 2:
@@ -278,7 +337,7 @@ def _step(g: np.ndarray, h: np.ndarray, n: np.ndarray, ordered: bool,
 def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
                  nominal: list[str] = PROFILE_ATTRIBUTES, key: str = "entity_id",
                  label: str = "future_aml_event", settings: Settings = Settings()) -> AdditiveModel:
-    """Boost all inputs together, one gradient pass per round, without interactions.
+    """Boost the inputs one after the other in every round, one gradient pass per round, without interactions.
 
     Each bag holds out its own hash-drawn share for early stopping and keeps
     the tables of its best round. Bags are averaged and every table is centred
@@ -295,8 +354,10 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
     intercepts = np.zeros(bags)
     best = tables.copy()
     best_loss, best_round = np.full(bags, np.inf), np.zeros(bags, dtype=int)
+    first_loss = np.zeros(bags)
     active = list(range(bags))
-    rows_per_bin = None
+    rows_per_bin, rows = None, 0.0
+    shared, curvatures = Shared.of(terms, settings.shared_cells), None
     try:
         for current in range(settings.max_rounds + 1):
             sums = _round_sums(blocks, tables, intercepts, offsets, active)
@@ -305,6 +366,7 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
                 # The first pass at margin 0 gives the class balance of each bag.
                 span = slice(int(offsets[0]), int(offsets[1]))
                 n = sums["n"][:, span].sum(axis=1)
+                rows = float(n[0] + sums["n"][0, width]) if bags else 0.0
                 positives = sums["gradient"][:, span].sum(axis=1) + n / 2.0
                 rate = np.clip(positives / np.maximum(n, 1.0), 1e-6, 1 - 1e-6)
                 intercepts = np.log(rate / (1.0 - rate))
@@ -312,6 +374,8 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
             held = sums["n"][:, width]
             for bag in list(active):
                 loss = sums["gradient"][bag, width] / held[bag] if held[bag] else 0.0
+                if current == 1:
+                    first_loss[bag] = loss
                 if loss < best_loss[bag] or not held[bag]:
                     best_loss[bag], best_round[bag] = loss, current
                     best[bag] = tables[bag]
@@ -319,12 +383,20 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
                     active.remove(bag)
             if not active:
                 break
+            if shared.size and current & (current - 1) == 0:
+                curvatures = _summed(blocks, (offsets[:-1], tables, intercepts, active, shared),
+                                     _block_shared, (shared.size,)) / FIXED_POINT
             for bag in active:
+                gradient = sums["gradient"][bag, :width].copy()
+                part = sums["n"][bag, :int(offsets[1])].sum() / max(rows, 1.0)  # the bag's share of the rows
                 for i, term in enumerate(terms):
                     span = slice(int(offsets[i]), int(offsets[i]) + term.bins)
-                    step = _step(*(sums[m][bag, span] for m in ("gradient", "curvature", "n")),
+                    step = _step(gradient[span], *(sums[m][bag, span] for m in ("curvature", "n")),
                                  term.levels is None, settings)
                     tables[bag, span] += step
+                    if curvatures is not None and step.any():
+                        for j, change in shared.after(i, step, curvatures):
+                            gradient[int(offsets[j]):int(offsets[j]) + terms[j].bins] -= part * change
     finally:
         blocks.unpersist()
 
@@ -336,7 +408,7 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
         centre = float((mean[span] * weight).sum() / max(weight.sum(), 1.0))
         intercept += centre
         fitted.append(Term(term.name, term.cuts, term.levels, (mean[span] - centre).tolist()))
-    return AdditiveModel(intercept, fitted, best_round.tolist())
+    return AdditiveModel(intercept, fitted, best_round.tolist(), best_loss.tolist(), first_loss.tolist())
 
 
 def term_contributions(model: AdditiveModel) -> Column:

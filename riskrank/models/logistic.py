@@ -1,4 +1,8 @@
-"""L2 logistic regression on standardised and one-hot inputs, with per-term contributions."""
+"""L2 logistic regression on standardised and one-hot inputs, with per-term contributions.
+
+``optimality`` certifies a fit without fitting again: one aggregate over the training rows gives the gradient of the
+objective in every weight, which is zero at the optimum and there alone, as the objective is strictly convex.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskrank.functions.maths import logistic
 from riskrank.schemas import MODEL_NUMERIC, PROFILE_ATTRIBUTES
 from riskrank.session import for_iterations
 
@@ -108,16 +113,78 @@ def score_logistic(df: DataFrame, fit: LogisticFit,
         *[F.col(c) for c in df.columns], vector_to_array("probability")[1].alias(output))
 
 
-def logistic_contributions(df: DataFrame, fit: LogisticFit,
+@dataclass(frozen=True)
+class LogisticWeights:
+    """All that scoring and explaining need of a fit: plain numbers, no fitted Spark objects."""
+
+    intercept: float
+    scaling: Scaling
+    levels: dict[str, list[str]]
+    coefficients: dict[str, float]
+
+    @property
+    def numeric(self) -> list[str]:
+        return list(self.scaling.mean)
+
+    @property
+    def terms(self) -> list[str]:
+        return self.numeric + [f"{c}_{v}" for c, values in self.levels.items() for v in values]
+
+    def inputs(self) -> dict[str, Column]:
+        """Standardised or 0/1 value per term; an unseen or NULL level is all zeros."""
+        values = {c: self.scaling.column(c) for c in self.numeric}
+        for c, levels in self.levels.items():
+            for level in levels:
+                values[f"{c}_{level}"] = F.when(F.col(c) == level, 1.0).otherwise(0.0)
+        return values
+
+    def margin(self) -> Column:
+        values = self.inputs()
+        return sum((values[t] * F.lit(self.coefficients[t]) for t in self.terms), F.lit(self.intercept))
+
+
+def weights_of(fit: LogisticFit) -> LogisticWeights:
+    return LogisticWeights(float(fit.model.intercept), fit.scaling, fit.levels, fit.coefficients())
+
+
+def score_weights(df: DataFrame, weights: LogisticWeights, output: str = "logistic_probability") -> DataFrame:
+    """Add the probability of the positive class from the weights alone."""
+    return df.withColumn(output, logistic(weights.margin()))
+
+
+def optimality(train: DataFrame, weights: LogisticWeights, label: str = "future_aml_event", c: float = 1.0,
+               tolerance: float = 1e-3) -> DataFrame:
+    """(term, gradient, at_optimum) of ``c * sum(log loss) + |w|^2 / 2``, the free intercept included.
+
+    One aggregate over the rows. A gradient is a sum that cancels at the optimum, so it is
+    measured against the sum of its parts' sizes: ``at_optimum`` says that it is below
+    ``tolerance`` times them. The objective exceeds its minimum by at most half the squared
+    length of the gradient.
+    """
+    residual = logistic(weights.margin()) - F.col(label)
+    values = {**weights.inputs(), "(intercept)": F.lit(1.0)}
+    names = list(values)
+    parts = train.select(residual.alias("_residual"), *[v.alias(f"_x{i}") for i, v in enumerate(values.values())])
+    sums = parts.agg(
+        *[F.sum(F.col("_residual") * F.col(f"_x{i}")).alias(f"_sum{i}") for i in range(len(names))],
+        *[F.sum(F.abs(F.col("_residual") * F.col(f"_x{i}"))).alias(f"_size{i}") for i in range(len(names))])
+    cells = []
+    for i, name in enumerate(names):
+        weight = F.lit(weights.coefficients.get(name, 0.0))
+        gradient = F.coalesce(F.col(f"_sum{i}"), F.lit(0.0)) * c + weight
+        size = F.coalesce(F.col(f"_size{i}"), F.lit(0.0)) * c + F.abs(weight)
+        cells.append(F.struct(F.lit(name).alias("term"), gradient.alias("gradient"),
+                              (F.abs(gradient) <= size * tolerance + 1e-9).alias("at_optimum")))
+    return sums.select(F.inline(F.array(*cells)))
+
+
+def logistic_contributions(df: DataFrame, fit: LogisticFit | LogisticWeights,
                            output: str = "contributions") -> DataFrame:
     """Add one (feature, contribution) entry per expanded input: coefficient times value."""
-    weights = fit.coefficients()
-    values = {c: fit.scaling.column(c) for c in fit.numeric}
-    for c in fit.nominal:
-        for level in fit.levels[c]:
-            values[f"{c}_{level}"] = F.when(F.col(c) == level, 1.0).otherwise(0.0)
+    weights = fit if isinstance(fit, LogisticWeights) else weights_of(fit)
+    values = weights.inputs()
     entries = [
-        F.struct(F.lit(t).alias("feature"), (values[t] * F.lit(weights[t])).alias("contribution"))
-        for t in fit.terms
+        F.struct(F.lit(t).alias("feature"), (values[t] * F.lit(weights.coefficients[t])).alias("contribution"))
+        for t in weights.terms
     ]
     return df.withColumn(output, F.array(*entries))

@@ -7,12 +7,12 @@ grouped aggregate over it, or over its distinct scores.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskrank.operators.joins import attach_dimension
-from riskrank.operators.ranked import quantile_columns, quantiles, running_totals, value_counts
+from riskrank.operators.ranked import quantiles, running_totals, value_counts
+from riskrank.operators.selection import selected_quantiles
 from riskrank.schemas import ADDITIVE, LOGISTIC, SCORECARD
 
 CAPACITY = 0.10
@@ -44,7 +44,7 @@ def ranked_scores(scores: DataFrame) -> DataFrame:
 def capacity_threshold(validation_scores: DataFrame, capacity: float = CAPACITY) -> DataFrame:
     """Score above which a share ``capacity`` of the validation customers lies."""
     q = round(1.0 - capacity, 12)
-    return quantiles(ranked_scores(validation_scores), "model", "score", "n", {"threshold": q})
+    return selected_quantiles(validation_scores, "model", "score", {"threshold": q})
 
 
 def capacity_metrics(test_scores: DataFrame, thresholds: DataFrame,
@@ -130,9 +130,10 @@ def prevalence(scores: DataFrame) -> DataFrame:
 
 def probability_summary(ranked: DataFrame) -> DataFrame:
     """Range, median and upper percentiles of each model's scores."""
-    inner = quantile_columns("score", "n", {"median": 0.5, "p95": 0.95, "p99": 0.99})
-    return ranked.groupBy("model").agg(
-        F.min("score").alias("minimum"), *inner, F.max("score").alias("maximum"))
+    inner = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    ends = ranked.groupBy("model").agg(F.min("score").alias("minimum"), F.max("score").alias("maximum"))
+    chosen = selected_quantiles(ranked, "model", "score", inner, weight="n")
+    return ends.join(chosen, "model").select("model", "minimum", *inner, "maximum")
 
 
 def calibration(ranked: DataFrame, bins: int = CALIBRATION_BINS) -> DataFrame:

@@ -43,3 +43,9 @@ def local_explanation(contributions: DataFrame, top: int = TOP_LOCAL) -> DataFra
         t["contribution"].alias("contribution"), t["feature"].alias("feature"))))
     return contributions.select("entity_id", F.posexplode(ascending).alias("place", "term")).select(
         "entity_id", (F.col("place") + 1).alias("place"), "term.feature", "term.contribution")
+
+
+def case_explanation(case: DataFrame, contributions: DataFrame, top: int = TOP_LOCAL) -> DataFrame:
+    """The local explanation of the picked customer alone: one row is looked up before any term is ordered."""
+    picked = contributions.join(F.broadcast(case.select("entity_id").limit(1)), "entity_id", "left_semi")
+    return local_explanation(picked, top)

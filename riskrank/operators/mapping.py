@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from riskrank.functions.keys import canonical_account, canonical_bank, trimmed
 from riskrank.functions.maths import percent
 from riskrank.operators.counting import distinct_counts
 from riskrank.operators.joins import hot_digests, spread_left_join
+from riskrank.session import materialise
 
 TIME_FORMAT = "yyyy/MM/dd HH:mm"
 ACCOUNT_KEY = ["bank_id", "account_number"]
@@ -81,15 +85,28 @@ def assert_unique_mapping(df: DataFrame, keys: list[str], value: str) -> None:
         raise ValueError(f"{keys} must determine {value}; conflicting keys include {shown}")
 
 
-def deduplicate(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: the smallest by the other columns, whatever the input order.
+def deduplicate(df: DataFrame, keys: list[str], most_broadcast: int = 10_000) -> DataFrame:
+    """One row per key: the smallest by the other columns, whatever the input order. NULL keys are keys.
 
-    Copies are hashed away first, so that only what differs is ordered.
+    A minimum over strings sorts its whole input. So copies are hashed away first (their
+    count is used, or Spark would undo that step), hashed counts tell which keys still
+    have several rows, and only the rows of those keys are ordered. Up to
+    ``most_broadcast`` such keys are broadcast.
     """
     rest = [c for c in df.columns if c not in keys]
+    single = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")).filter(
+        F.col("_copies") > 0).drop("_copies")
+    clashing = materialise(single.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(
+        F.col("_rows") > 1).select(*[F.col(k).alias(f"_clash_{i}") for i, k in enumerate(keys)]), "clashing-keys")
+    found = clashing.limit(most_broadcast + 1).count()
+    if not found:
+        return single
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_clash_{i}")) for i, k in enumerate(keys)))
+    other = F.broadcast(clashing) if found <= most_broadcast else clashing
     smallest = F.min(F.struct(*rest)).alias("kept")
-    return df.distinct().groupBy(*keys).agg(smallest).select(
+    settled = single.join(other, same, "left_semi").groupBy(*keys).agg(smallest).select(
         *[F.col(c) if c in keys else F.col(f"kept.{c}") for c in df.columns])
+    return single.join(other, same, "left_anti").unionByName(settled)
 
 
 def customer_accounts(raw_accounts: DataFrame, check: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskrank.functions.keys import hash_number
 from riskrank.functions.maths import clip, finite_or
 from riskrank.operators.joins import attach_dimension
-from riskrank.operators.ranked import running_totals, value_counts
+from riskrank.operators.selection import select_ranks
 from riskrank.schemas import MODEL_NUMERIC, PROFILE_ATTRIBUTES, TESTED_NUMERIC, UNBOUNDED
 
 SEED = 42
@@ -47,19 +47,17 @@ def stratified_split(frame: DataFrame, key: str = "entity_id", label: str = "fut
     Rows without a label belong to no class and get the split ``unlabelled``.
     """
     hashed = frame.withColumn("_draw", hash_number(key, seed, algo))
-    ordered = running_totals(
-        value_counts(hashed, label, "_draw", {"n": F.lit(1)}), label, "_draw", ["n"])
-    edges, reached = [], 0.0
+    positions, reached = {}, 0.0
     for i, (_, part) in enumerate(shares[:-1]):
         reached = round(reached + part, 9)
-        beyond = F.col("n_before") >= F.col("n_total") * F.lit(reached)
-        edges.append(F.min(F.when(beyond, F.col("_draw"))).alias(f"_edge_{i}"))
+        # The last draw within the share; equal draws stay together.
+        positions[f"_edge_{i}"] = lambda total, share=reached: F.ceil(total * F.lit(share)) - 1
+    edges = select_ranks(hashed, label, "_draw", positions)
     # Two cut points per class come back, so the frame itself is never shuffled.
-    placed = attach_dimension(hashed, ordered.groupBy(label).agg(*edges), label)
+    placed = attach_dimension(hashed, edges, label)
     picked = F.lit(shares[-1][0])
-    for i in reversed(range(len(edges))):
-        edge = F.col(f"_edge_{i}")
-        picked = F.when(edge.isNull() | (F.col("_draw") < edge), shares[i][0]).otherwise(picked)
+    for i in reversed(range(len(positions))):
+        picked = F.when(F.col("_draw") <= F.col(f"_edge_{i}"), shares[i][0]).otherwise(picked)
     picked = F.when(F.col(label).isNull(), "unlabelled").otherwise(picked)
     return placed.withColumn("split", picked).select(*frame.columns, "split")
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskrank.operators.joins import attach_dimension
+from riskrank.operators.selection import cuts_below
 from riskrank.session import materialise
 
 ROWS_PER_BUCKET = 500_000  # distinct values that one task may order
-MAX_BUCKETS = 1024
+FAN_OUT = 1024  # ranges that a group is cut into at once; ranges still too large are cut again
 
 
 def value_counts(df: DataFrame, group: str, value: str, weights: dict[str, Column]) -> DataFrame:
@@ -24,18 +25,22 @@ def value_counts(df: DataFrame, group: str, value: str, weights: dict[str, Colum
 
 
 def running_totals(counts: DataFrame, group: str, value: str, weights: list[str],
-                   buckets: int | None = None) -> DataFrame:
+                   buckets: int | None = None, most_buckets: int = FAN_OUT, depth: int = 0) -> DataFrame:
     """Add ``<w>_before`` (sum over smaller values) and ``<w>_total`` per group.
 
     ``counts`` holds one row per (group, value) and is read several times, so
     it should be a stored table. Groups of up to ``ROWS_PER_BUCKET`` distinct
     values are ordered directly. Larger ones are cut into ranges of about
     equally many distinct values: sums of whole ranges give the offsets, and
-    only rows of one range are ever ordered together.
+    only rows of one range are ever ordered together. Ranges of groups too large
+    for one cut are cut again, as groups of their own.
     """
+    again = False
     if buckets is None:
         largest = counts.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        buckets = min(MAX_BUCKETS, math.ceil(largest / ROWS_PER_BUCKET))
+        buckets = math.ceil(largest / ROWS_PER_BUCKET)
+        again = buckets > most_buckets
+        buckets = min(most_buckets, buckets)
     if buckets <= 1:
         return _window_totals(counts, [group], value, weights).withColumns({
             f"{w}_total": F.sum(w).over(Window.partitionBy(group)) for w in weights})
@@ -45,7 +50,7 @@ def running_totals(counts: DataFrame, group: str, value: str, weights: list[str]
     cuts = counts.groupBy(group).agg(F.percentile_approx(
         F.col(value).cast("double"), fractions, 4 * buckets).alias("_cuts"))
     placed = attach_dimension(counts, cuts, group).withColumn(
-        "_bucket", _cuts_below(F.col(value).cast("double"), buckets)).drop("_cuts")
+        "_bucket", cuts_below("_cuts", value, buckets)).drop("_cuts")
 
     per_bucket = placed.groupBy(group, "_bucket").agg(*[F.sum(w).alias(w) for w in weights])
     offsets = _window_totals(per_bucket, [group], "_bucket", weights).select(
@@ -58,10 +63,18 @@ def running_totals(counts: DataFrame, group: str, value: str, weights: list[str]
     joined = placed.join(
         offsets, F.col(group).eqNullSafe(F.col("_offset_group"))
         & (F.col("_bucket") == F.col("_offset_bucket"))).drop("_offset_group", "_offset_bucket")
-    inside = _window_totals(joined, [group, "_bucket"], value, weights)
+    if again:
+        held = {f"_{w}_offset": f"_{w}_offset_{depth}" for w in weights} | {
+            f"{w}_total": f"_{w}_total_{depth}" for w in weights}
+        ranges = materialise(joined.withColumn("_range", F.struct(group, "_bucket")).drop("_bucket")
+                             .withColumnRenamed("_range", f"_range_{depth}").withColumnsRenamed(held), "value-ranges")
+        inside = running_totals(ranges, f"_range_{depth}", value, weights, None, most_buckets, depth + 1).drop(
+            f"_range_{depth}", *[f"{w}_total" for w in weights]).withColumnsRenamed({v: k for k, v in held.items()})
+    else:
+        inside = _window_totals(joined, [group, "_bucket"], value, weights).drop("_bucket")
     return inside.withColumns({
         f"{w}_before": F.col(f"{w}_before") + F.col(f"_{w}_offset") for w in weights
-    }).drop("_bucket", *[f"_{w}_offset" for w in weights])
+    }).drop(*[f"_{w}_offset" for w in weights])
 
 
 def _window_totals(df: DataFrame, keys: list[str], order: str, weights: list[str]) -> DataFrame:
@@ -70,15 +83,6 @@ def _window_totals(df: DataFrame, keys: list[str], order: str, weights: list[str
         f"{w}_before": F.coalesce(F.sum(w).over(earlier), F.lit(0)) for w in weights})
 
 
-def _cuts_below(value: Column, buckets: int) -> Column:
-    """How many of the sorted ``_cuts`` lie below the value, by halving steps."""
-    steps = [1 << i for i in reversed(range(buckets.bit_length()))]
-    return F.aggregate(
-        F.array(*map(F.lit, steps)), F.lit(0),
-        lambda found, step: found + F.when(
-            F.get("_cuts", found + step - 1) < value, step).otherwise(0))
-
-
 def quantile_columns(value: str, weight: str, probabilities: dict[str, float]) -> list[Column]:
     """Aggregates over ranked rows that give exact, linearly interpolated quantiles.
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from riskrank.schemas import ACC_RAW, TX_RAW
+from riskrank.session import materialise
+
+UNREADABLE = "_unreadable"
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +31,33 @@ def _read_csv(spark, path, schema):
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=True)
 
 
+def read_checked(spark: SparkSession, path: str, schema: StructType, aside: str | None = None,
+                 header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows that parse, (file_name, line) of those that do not), each line of the CSV being in one of them.
+
+    A plain scan turns what does not parse into NULL without a trace. Here a line with a
+    field that is not of its type, or with too few or too many fields, goes aside whole
+    and is counted by ``quarantine_summary``; with ``aside`` it is appended to that folder.
+    Empty fields are NULL and parse. The file is read once and kept as a stage table.
+    """
+    marked = StructType([*schema.fields, StructField(UNREADABLE, StringType())])
+    scan = spark.read.csv(path, schema=marked, header=header, enforceSchema=True, mode="PERMISSIVE",
+                          columnNameOfCorruptRecord=UNREADABLE)
+    held = materialise(scan.withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1)), "checked-scan")
+    bad = held.filter(F.col(UNREADABLE).isNotNull()).select(
+        F.col("_file").alias("file_name"), F.col(UNREADABLE).alias("line"))
+    if aside is not None:
+        bad.write.mode("append").parquet(aside)
+    return held.filter(F.col(UNREADABLE).isNull()).select(*[f.name for f in schema.fields]), bad
+
+
+def quarantine_summary(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """(rows_read, rows_parsed, rows_quarantined), one row."""
+    counted = good.select(F.lit(1).alias("parsed")).union(bad.select(F.lit(0)))
+    return counted.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("parsed") == 1).alias("rows_parsed"),
+                       F.count_if(F.col("parsed") == 0).alias("rows_quarantined"))
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and path of every file below ``path``; file contents are not read."""
     return (

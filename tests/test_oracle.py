@@ -3,6 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.oracle import ORACLES
+from checks.queries import REGISTRY
 from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.01"
@@ -15,10 +17,12 @@ def duck():
 
 
 def test_only_fits_hashes_and_file_sizes_lack_a_twin():
-    assert set(queries()) - set(TWINS) == {
+    assert set(REGISTRY) - set(ORACLES) == {
         "profile_xxhash", "logistic_scores", "additive_scores",
-        "fitted_model_comparison", "global_importance", "additive_local_contributions",
+        "fitted_model_comparison", "fitted_capacity_metrics", "fitted_calibration", "fitted_champion_decision",
+        "fitted_case_explanation", "global_importance", "additive_local_contributions",
         "logistic_local_contributions"}
+    assert set(ORACLES) <= set(REGISTRY) <= set(queries())
     assert set(TWINS) <= set(queries())
 
 
