@@ -12,7 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskrank.session import materialise
+from riskrank.session import materialise, release
+
+LINKS_A_TASK = 50_000
+
+
+def _tasks(links: int) -> int:
+    """Tasks that read a round's links: a small table in hundreds of files costs more than what it holds."""
+    return max(1, -(-links // LINKS_A_TASK))
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -46,8 +53,12 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
                                      F.least(left, right).cast("long").alias("lo")).distinct(), "links")
     before = _signature(edges)
     while True:
-        edges = materialise(_small_star(_large_star(edges)), "stars")
-        after = _signature(edges)
+        few = _tasks(before[0])
+        after_large = _large_star(edges.coalesce(few)).coalesce(few)
+        stars = materialise(_small_star(after_large).coalesce(few), "stars")
+        after = _signature(stars)
+        release(edges)
+        edges = stars
         if after == before:
             break
         before = after

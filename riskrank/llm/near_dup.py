@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 
 from riskrank.llm.common import by_batch, lists, mix, texts, utf8
 from riskrank.llm.components import components
-from riskrank.session import materialise
+from riskrank.session import materialise, release
 
 WORD_CACHE = 1 << 19
 CHUNK_SHINGLES = 1 << 21
 CODE_BITS = 2048
 CODE_CHUNK = 256
+MOST_BITS = 27  # the filter of ids takes 2 ** 27 bits, 16 MB, at most
 
 
 @dataclass(frozen=True)
@@ -152,16 +153,36 @@ def sketches(docs: DataFrame, how: NearDup) -> DataFrame:
                     "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>")
 
 
+def _members_only(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``needed`` (doc_id, distinct), without shuffling the other texts.
+
+    The ids set bits of a filter of bounded size, which is broadcast; what it lets through
+    is settled by an exact join. Beyond the bound the filter lets more through, no less.
+    """
+    bits = 1 << min(MOST_BITS, max(15, math.ceil(math.log2(16 * needed.count() + 1))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    filled = needed.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    passed = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(filled), "_bucket") \
+        .where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_bucket", "_bits")
+    return passed.join(needed, "doc_id", "left_semi")
+
+
 def _shingle_sets(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     """(id, grams): the full shingle sets of the documents in ``pairs``."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    needed = materialise(pairs.select(F.col("a").alias("doc_id")).union(
+        pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
     known = _Words()
 
     def build(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column("doc_id"),
                 "grams": pa.array([shingles(t, how.words, known).tobytes() for t in utf8(batch)], pa.binary())}
 
-    return materialise(by_batch(docs.join(needed, "doc_id", "left_semi"), build, "id long, grams binary"), "sets")
+    sets = materialise(by_batch(_members_only(docs, needed), build, "id long, grams binary"), "sets")
+    release(needed)
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,7 +213,9 @@ def _unsettled(placed: DataFrame, found: DataFrame) -> DataFrame:
                          "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
         .where("low < high").select("key")
-    return placed.join(several, "key", "left_semi")
+    open_ = materialise(placed.join(several, "key", "left_semi"), "open")
+    release(placed)
+    return open_
 
 
 def _second_stars(open_: DataFrame) -> DataFrame:
@@ -277,6 +300,9 @@ def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     prints = ["print_a", "print_b", "n_shingles"]
     classes = materialise(sketched.where("n_shingles > 0").groupBy(*prints).agg(
         F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes")
+    sized = materialise(sketched.select("doc_id", *prints), "sizes")
+    heads = materialise(classes.drop("keys"), "heads")
+    release(sketched)
     members = classes.where("rep is not null").select("rep", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")) \
         .where("members > 1").select("key", "centre")
@@ -293,21 +319,27 @@ def link_documents(df: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_i
     distance = 1 - F.col("shared") / F.col("total")
     placed = shared.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("centre"), distance.alias("away")),
                          ["rep", "centre"], "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
-    open_ = materialise(_unsettled(placed, first), "open")
+    open_ = _unsettled(placed, first)
+    release(shared, stars)
     found = first
-    if not open_.isEmpty():
+    if open_.isEmpty():
+        release(sets, compared, open_)
+    else:
         members = open_.select(F.col("rep").alias("id")).distinct()
-        sets = materialise(sets.join(members, "id", "left_semi"), "sets")
+        fewer = materialise(sets.join(members, "id", "left_semi"), "sets")
         again = materialise(_second_stars(open_), "pairs")
-        links = compared.where(linked).select("a", "b").union(
-            materialise(_verified(again, sets), "stars").where(linked).select("a", "b"))
-        second = components(links)
-        still = materialise(_unsettled(open_.drop("component"), second), "open")
-        rest = materialise(_across(still, sets, classes, how), "rest")
-        found = components(links.union(_verified(rest, sets).where(linked).select("a", "b")))
-    labels = classes.drop("keys").join(found.withColumnRenamed("node", "rep"), "rep", "left") \
+        second_stars = materialise(_verified(again, fewer), "stars")
+        release(sets, again)
+        links = compared.where(linked).select("a", "b").union(second_stars.where(linked).select("a", "b"))
+        still = _unsettled(open_.drop("component"), components(links))
+        release(open_)
+        rest = materialise(_across(still, fewer, classes, how), "rest")
+        found = components(links.union(_verified(rest, fewer).where(linked).select("a", "b")))
+        release(compared, fewer, second_stars, still, rest)
+    release(classes)
+    labels = heads.join(found.withColumnRenamed("node", "rep"), "rep", "left") \
         .select(*prints, F.coalesce("component", "rep").alias("component"))
-    return (sketched.select("doc_id", *prints).join(labels, prints, "left")
+    return (sized.join(labels, prints, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
