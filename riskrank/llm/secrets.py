@@ -13,6 +13,8 @@ no spans. All columns of the input stay; the added ones are named by arguments.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,13 @@ CLASSES = [
 # Runs that look random but are not secret: all one case without a digit (words, slugs of words),
 # numbers and UUIDs.
 ALLOWED = [
-    r"^[a-z+/=_-]+$", r"^[A-Z+/=_-]+$", r"^[A-Z]?[a-z]+([+/=_-]+[A-Z]?[a-z]+)*$", r"^[0-9+/=_-]+$",
+    r"^[a-z+/=_-]+$", r"^[A-Z+/=_-]+$", r"^[0-9+/=_-]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
 ]
+# A slug of words, the first letter of each in either case: what it is made of, and what may not be in it. No group
+# repeats here, since the regex engine recurses once per repeat and long runs would exhaust its stack.
+SLUG = r"^[A-Za-z][A-Za-z+/=_-]*[a-z]$"
+NO_SLUG = r"[A-Za-z][A-Z]|[A-Z](?![a-z])"
 # Placeholders and counting sequences, with the segments between / = _ - that hold them.
 EXCUSED = (r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx"
            r"|0123456789|abcdefgh)[A-Za-z0-9+]*")
@@ -47,71 +53,133 @@ EXCUSED = (r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:example|placeholder|changeme|you
 GONE = "\uffff"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, join) -> Column:
+    """Running totals under ``join`` (from 0) of an array of numbers.
+
+    Growing an array copies it, so the array is cut into about as many parts as each part has
+    numbers: what is copied grows with the power 1.5 of its size, not with its square.
+    """
+    none = F.array().cast("array<int>")
+    last = lambda array: F.coalesce(F.try_element_at(array, F.lit(-1)), F.lit(0))
+
+    def parts(held: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(held))).cast("int"))
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / w).cast("int")),
+                                                 lambda i: F.slice(held, i * w + 1, w)))
+
+    def totals(cut: Column) -> Column:
+        return F.transform(cut, lambda part: F.aggregate(
+            part, none, lambda out, x: F.concat(out, F.array(join(last(out), x)))))
+
+    def joined(inner: Column) -> Column:
+        tops = F.aggregate(F.transform(inner, last), F.array(F.lit(0)),
+                           lambda out, x: F.concat(out, F.array(join(last(out), x))))
+        return F.flatten(F.zip_with(inner, F.slice(tops, 1, F.size(inner)),
+                                    lambda part, top: F.transform(part, lambda x: join(top, x))))
+
+    return _let(values, lambda held: F.when(F.size(held) > 0, _let(totals(parts(held)), joined)).otherwise(none))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return (a + b).cast("int")
+
+
 def _spans(text: Column, found: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of ``found``, the matches of ``pattern`` in ``text``, from the lengths of what lies between."""
     between = F.split(text, pattern, -1)
-    pieces = F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda hit, gap: F.length(gap) + F.length(hit))
+    spans = F.zip_with(found, _running(steps, _sum), lambda hit, end: F.struct(
+        (end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
+        (keep(hit) if keep else F.lit(True)).alias("keep")))
+    kept = F.transform(F.filter(spans, lambda s: s["keep"]),
+                       lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(F.size(found) > 0, kept).otherwise(none)
 
-    def step(state, piece):
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.length(piece["hit"])
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        grown = F.concat(state["out"], one)
-        return F.struct(end.alias("at"),
-                        (F.when(keep(piece["hit"]), grown).otherwise(state["out"]) if keep else grown).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.when(F.size(found) > 0, F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(none)
+def _rewritten(text: Column, spans: Column, instead) -> Column:
+    """``text`` with ``instead(length, begin, first)`` for what each of its sorted spans adds to those before it.
+
+    ``begin`` says whether a gap lies in front of the span, ``first`` whether the text begins with it.
+    Finding a place in a text means counting from its front, so the text is cut into stretches first.
+    """
+    def cut(sorted_: Column, reached: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reached, 1, F.size(sorted_) - 1))
+        pieces = F.zip_with(sorted_, before, lambda s, at: F.struct(
+            at.alias("at"), F.greatest(at, s["start"]).alias("start"), F.greatest(at, s["end"]).alias("end")))
+        width = F.ceil(F.sqrt(F.size(sorted_))).cast("int")
+        return _let(pieces, lambda held: _let(width, lambda w: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(held) - 1) / w).cast("int")),
+            lambda i: F.slice(held, i * w + 1, w))))
+
+    def stretch(part: Column, front: Column) -> Column:
+        inside = F.substring(text, front + 1, F.element_at(part, -1)["end"] - front)
+        return _let(inside, lambda own: F.transform(part, lambda p: F.concat(
+            F.substring(own, p["at"] - front + 1, p["start"] - p["at"]),
+            instead(p["end"] - p["start"], p["start"] > p["at"], p["at"] == 0))))
+
+    def made(sorted_: Column, reached: Column) -> Column:
+        tail = F.substring(text, F.element_at(reached, -1) + 1, F.length(text))
+        written_ = F.transform(cut(sorted_, reached), lambda part: _let(
+            F.element_at(part, 1)["at"], lambda front: stretch(part, front)))
+        return F.array_join(F.concat(F.flatten(written_), F.array(tail)), "")
+
+    return F.when(F.size(spans) > 0, _let(spans, lambda sorted_: _let(
+        _running(F.transform(sorted_, lambda s: s["end"]), F.greatest),
+        lambda reached: made(sorted_, reached)))).otherwise(text)
 
 
 def _without(text: Column, spans: Column) -> Column:
     """``text`` with every symbol of ``spans``, and one separator next to them, as ``GONE``; no place moves."""
-    def step(state, s):
-        begin = F.greatest(state["at"], s["start"])
-        gap = F.substring(text, state["at"] + 1, begin - state["at"])
-        blank = F.repeat(F.lit(GONE), F.greatest(s["end"] - begin, F.lit(0)))
-        return F.struct(F.greatest(begin, s["end"]).alias("at"), F.concat(state["text"], gap, blank).alias("text"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    left = F.aggregate(F.array_sort(spans), start, step, lambda state: F.concat(
-        state["text"], F.substring(text, state["at"] + 1, F.length(text))))
+    left = _rewritten(text, F.array_sort(spans), lambda length, begin, first: F.repeat(F.lit(GONE), length))
     near = f"(?<={GONE})[/=_-]|[/=_-](?={GONE})"
     return F.when(F.size(spans) > 0, F.regexp_replace(left, near, GONE)).otherwise(text)
 
 
-def _clogc(count: Column) -> Column:
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
-
-
 def window_entropy(run: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy of any window of ``run``; null for runs shorter than the window."""
+    """Highest Shannon entropy of any window of ``run``; null for runs shorter than the window.
+
+    The counts stand in a string with one symbol per letter of the alphabet, so that a
+    step rewrites the counts of the entering and the leaving symbol alone.
+    """
+    clogc = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     places = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(alphabet), c))
-    zeros = F.array_repeat(F.lit(0), len(alphabet))
-
-    def slide(state, at):
-        enter = F.get(state["places"], at)
-        leave = F.when(at >= window, F.get(state["places"], at - window)).otherwise(F.lit(0))
-        more = F.get(state["counts"], enter - 1)
-        # The count of the entering symbol after the leaving one has gone.
-        less = F.when(leave > 0, F.get(state["counts"], leave - 1))
-        total = (state["total"]
-                 + F.when(leave > 0, _clogc(less - 1) - _clogc(less)).otherwise(F.lit(0.0)))
-        base = F.when(leave == enter, more - 1).otherwise(more)
-        total = total + _clogc(base + 1) - _clogc(base)
-        counts = F.transform(state["counts"], lambda c, i: c + F.when(i == enter - 1, 1).otherwise(0)
-                             - F.when(i == leave - 1, 1).otherwise(0))
-        entropy = F.when(at >= window - 1, F.log2(F.lit(float(window))) - total / window)
-        return F.struct(state["places"].alias("places"), counts.alias("counts"), total.alias("total"),
-                        F.greatest(state["top"], entropy).alias("top"))
-
-    state = F.struct(places.alias("places"), zeros.alias("counts"), F.lit(0.0).alias("total"),
-                     F.lit(None).cast("double").alias("top"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), state, slide, lambda s: s["top"])
+    moves = _let(places, lambda held: F.zip_with(
+        held, F.slice(F.concat(F.array_repeat(F.lit(0), window), held), 1, F.size(held)),
+        lambda enter, leave: F.struct(enter.alias("enter"), leave.alias("leave"))))
+    count = lambda counts, place: F.ascii(F.substring(counts, place, F.lit(1))) - 48
+    put = lambda counts, place, n: F.overlay(counts, F.char(n + 48), place, F.lit(1))
+
+    def slide(state, move):
+        enter, leave = move["enter"], move["leave"]
+
+        def entered(left):  # (counts, total) once the leaving symbol has gone
+            return _let(count(left["counts"], enter), lambda n: F.struct(
+                put(left["counts"], enter, n + 1).alias("counts"),
+                (left["total"] + F.get(clogc, n + 1) - F.get(clogc, n)).alias("total")))
+
+        gone = F.when(leave > 0, _let(count(state["counts"], leave), lambda n: F.struct(
+            put(state["counts"], leave, n - 1).alias("counts"),
+            (state["total"] + F.get(clogc, n - 1) - F.get(clogc, n)).alias("total")))).otherwise(
+            F.struct(state["counts"].alias("counts"), state["total"].alias("total")))
+        entropy = lambda total: F.when(
+            state["seen"] >= window - 1, F.lit(math.log2(window)) - total / window)
+        return _let(_let(gone, entered), lambda now: F.struct(
+            now["counts"].alias("counts"), now["total"].alias("total"),
+            F.greatest(state["top"], entropy(now["total"])).alias("top"), (state["seen"] + 1).alias("seen")))
+
+    state = F.struct(F.lit("0" * len(alphabet)).alias("counts"), F.lit(0.0).alias("total"),
+                     F.lit(None).cast("double").alias("top"), F.lit(0).alias("seen"))
+    return F.aggregate(moves, state, slide, lambda s: s["top"])
 
 
 def _suspicious(run: Column) -> Column:
-    allowed = F.lit(False)
+    allowed = run.rlike(SLUG) & ~run.rlike(NO_SLUG)
     for pattern in ALLOWED:
         allowed = allowed | run.rlike(pattern)
     verdict = F.lit(False)
@@ -165,18 +233,6 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     """Replace every span, overlapping ones as one, by ``mark``; texts without spans stay as they are."""
     scanned = scan_secrets(df, text_col, "_redact_spans")
     text, spans = F.col(text_col), F.col("_redact_spans")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-    def step(state, s):
-        gap = F.when(s["start"] > state["at"], F.concat(
-            state["text"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark)))
-        fresh = F.when((s["start"] == state["at"]) & (s["end"] > state["at"]), F.when(
-            state["at"] == 0, F.concat(state["text"], F.lit(mark))).otherwise(state["text"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
-                        F.coalesce(gap, fresh, state["text"]).alias("text"))
-
-    def finish(state):
-        return F.concat(state["text"], F.substring(text, state["at"] + 1, F.length(text)))
-
-    masked = F.aggregate(spans, begin, step, finish)
+    masked = _rewritten(text, spans, lambda length, begin, first: F.when(
+        begin | (first & (length > 0)), F.lit(mark)).otherwise(F.lit("")))
     return scanned.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop("_redact_spans")
