@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -46,6 +47,11 @@ class Packing:
     nodes: int = 20_000  # bins completed before the search settles for its incumbent
 
 
+def _stays_letter(last: str) -> bool:
+    """Whether a letter still ends in a letter, not in a mark, once it is composed and in lower case."""
+    return last.isalpha() and (last.isascii() or unicodedata.normalize("NFC", last).lower()[-1].isalpha())
+
+
 class Coder:
     """Ids of texts, by words: a vocabulary that drops white space never joins ids across it.
 
@@ -83,7 +89,7 @@ class Coder:
             stem = word.rstrip(TAIL)
             # Stops right behind a letter are a piece of their own.
             parts.append((word, stem.lower() if stem.isascii() else stem, word[len(stem):])
-                         if stem and stem[-1].isalpha() else (word, word, ""))
+                         if stem and _stays_letter(stem[-1]) else (word, word, ""))
         fresh = [s for s in {s for _, s, _ in parts} if s not in self.stems]
         plain = [s for s in fresh if s.isalpha()]
         groups = [plain[at:at + JOINED] for at in range(0, len(plain), JOINED)]
