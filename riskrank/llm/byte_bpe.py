@@ -20,6 +20,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,13 +30,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from riskrank.llm.common import by_batch, texts, utf8
+from riskrank.llm.common import Strings, by_batch, texts
 
 MOST_STATES = 400_000
 MOST_PAIRS = 300_000
 MOST_PATHS = 1_000_000
 PIECE_CACHE = 400_000
 CACHED_BYTES = 128  # longer pieces, such as runs of white space, are encoded anew each time
+BESIDE_SPACE = re.compile(r"\A | \Z| \s|\s ")
 WRITE_BEYOND = 8  # tokens held back before looking for what all beginnings agree on
 
 
@@ -41,30 +45,33 @@ class Transducer:
     """Encoder for ranks as tiktoken has them: the pair of least rank merges first, the leftmost of equals.
 
     A path is the encoding of a prefix, kept as (path before, last token) under a
-    number. A state is a flat tuple (trie node, path, trie node, path, ...), the
-    last pair being the beginning at the place reached.
+    number. A state is a flat tuple (trie node * 256, path, trie node * 256, path, ...),
+    the last pair being the beginning at the place reached.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self._edges: dict[int, int] = {}  # node * 256 + byte to the node below
-        self._token = [-1]
-        self._inner = [False]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                self._inner[node] = True
-                below = self._edges.get(node << 8 | byte)
-                if below is None:
-                    below = self._edges[node << 8 | byte] = len(self._token)
-                    self._token.append(-1)
-                    self._inner.append(False)
-                node = below
-            self._token[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
         self._parts: tuple[dict, dict] = ({}, {})
+        below: dict[int, int] = {}  # node * 256 + byte to the node below
+        token_at, inner = [-1], [False]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                inner[node] = True
+                after = below.get(node << 8 | byte)
+                if after is None:
+                    after = below[node << 8 | byte] = len(token_at)
+                    token_at.append(-1)
+                    inner.append(False)
+                node = after
+            if self.halves(rank) is not None:  # else merging never makes it
+                token_at[node] = rank
+        # What a step needs to know at once: the node below (times 256; -1 if nothing follows it) and its token or -1.
+        self._edges: dict[int, tuple[int, int]] = {
+            key: (node << 8 if inner[node] else -1, token_at[node]) for key, node in below.items()}
         self._reset()
 
     def _reset(self) -> None:
@@ -72,8 +79,8 @@ class Transducer:
         self._last: list[int] = [-1]
         self._length: list[int] = [0]
         self._path_of: dict[int, int] = {}
-        self._states: list[tuple[int, ...]] = [(0, 0)]
-        self._number: dict[tuple[int, ...], int] = {(0, 0): 0}
+        self._states: list[list[int]] = [[0, 0]]
+        self._number: dict[tuple[int, ...], int] = {}
         self._steps: dict[int, int] = {}
         self._written: dict[int, tuple[int, ...]] = {}
 
@@ -158,39 +165,46 @@ class Transducer:
 
     def _make(self, number: int, byte: int) -> int:
         """The state after ``byte``; its number is negative if tokens are written on the way."""
-        state, edges, token_at, inner, last = \
-            self._states[number], self._edges, self._token, self._inner, self._last
+        edge, last, pair = self._edges.get, self._last, self._pairs.get
         moved: list[int] = []
         ended = -1
-        step = edges.get
-        for node, path in zip(state[::2], state[1::2]):
-            child = step(node << 8 | byte)
-            if child is None:
+        places = iter(self._states[number])
+        for node in places:
+            path = next(places)
+            below = edge(node | byte)
+            if below is None:
                 continue
-            if ended < 0:
-                token = token_at[child]
-                if token >= 0:
-                    before = last[path]
-                    if self.halves(token) is None:
-                        token_at[child] = -1  # merging never makes it
-                    elif before < 0 or self.agree(before, token):
+            child, token = below
+            if ended < 0 and token >= 0:
+                before = last[path]
+                if before < 0:
+                    ended = self._path(path, token)
+                else:
+                    fits = pair(before << 32 | token)
+                    if fits or fits is None and self.agree(before, token):
                         ended = self._path(path, token)
-            if inner[child]:
-                moved += (child, path)
+            if child >= 0:
+                moved.append(child)
+                moved.append(path)
         if ended < 0:
             raise ValueError(f"no token ends in byte {byte}: the ranks lack single bytes")
-        moved += (0, ended)
+        moved.append(0)
+        moved.append(ended)
         written: tuple[int, ...] = ()
         if self._length[ended] > WRITE_BEYOND:
             written, moved = self._write(moved)
-        key = tuple(moved)
-        after = self._number.get(key)
-        if after is None:
-            after = self._number[key] = len(self._states)
-            self._states.append(key)
         if written:
+            # Paths tell the prefixes apart until something is written; states can only coincide after that.
+            key = tuple(moved)
+            after = self._number.get(key)
+            if after is None:
+                after = self._number[key] = len(self._states)
+                self._states.append(moved)
             self._written[number << 8 | byte] = written
             after = -after - 1
+        else:
+            after = len(self._states)
+            self._states.append(moved)
         self._steps[number << 8 | byte] = after
         return after
 
@@ -265,40 +279,72 @@ class Utf8Machine:
 
 
 class StreamDecoder:
-    """Text of ids as they come; bytes that cannot be UTF-8 become U+FFFD."""
+    """Text of ids as they come; bytes that cannot be UTF-8 become U+FFFD.
+
+    Tokens that begin and end between code points leave the machine at rest, so a run of
+    them that meets it at rest is copied in one piece; all others go through it byte by byte.
+    """
 
-    def __init__(self, pieces: dict[int, bytes]):
-        self.pieces, self.machine = pieces, Utf8Machine()
-        self.state, self.held = 0, bytearray()
+    def __init__(self, pieces: dict[int, bytes] | list[bytes], whole: np.ndarray | None = None,
+                 table: Strings | None = None, machine: Utf8Machine | None = None):
+        self.pieces, self.machine = pieces, machine or Utf8Machine()
+        self.whole, self.table = whole, table
+        self.state, self.held, self.faults = 0, bytearray(), 0
 
     def feed(self, ids) -> str:
+        if self.table is None:
+            return "".join([self._bytes(self.pieces[int(token)]) for token in ids])
+        numbers = np.asarray(ids, np.int64)
+        resting = self.whole[numbers]
+        if self.state == 0 and resting.all():
+            return self.table.gather(numbers)[0].tobytes().decode()
+        out, at = [], 0
+        turns = np.append(np.flatnonzero(np.diff(resting)) + 1, len(numbers)).tolist() if len(numbers) else []
+        for end in turns:
+            begin = at
+            if resting[at]:
+                while begin < end and self.state != 0:  # what is unfinished breaks off first
+                    out.append(self._bytes(self.pieces[numbers[begin]]))
+                    begin += 1
+                out.append(self.table.gather(numbers[begin:end])[0].tobytes().decode())
+            else:
+                out += [self._bytes(self.pieces[token]) for token in numbers[begin:end].tolist()]
+            at = end
+        return "".join(out)
+
+    def _bytes(self, piece: bytes) -> str:
         out = []
-        for token in ids:
-            for byte in self.pieces[int(token)]:
-                after = self.machine.step(self.state, byte)
-                if after == -1 and self.held:  # what was begun is broken off; the byte may begin anew
-                    out.append("�")
-                    self.held.clear()
-                    after = self.machine.step(0, byte)
-                if after == -1:
-                    out.append("�")
-                    self.state = 0
-                    continue
-                self.held.append(byte)
-                self.state = after
-                if after == 0:
-                    out.append(self.held.decode())
-                    self.held.clear()
+        for byte in piece:
+            after = self.machine.step(self.state, byte)
+            if after == -1 and self.held:  # what was begun is broken off; the byte may begin anew
+                out.append("\ufffd")
+                self.faults += 1
+                self.held.clear()
+                after = self.machine.step(0, byte)
+            if after == -1:
+                out.append("\ufffd")
+                self.faults += 1
+                self.state = 0
+                continue
+            self.held.append(byte)
+            self.state = after
+            if after == 0:
+                out.append(self.held.decode())
+                self.held.clear()
         return "".join(out)
 
     def close(self) -> str:
-        rest, self.state = ("�" if self.held else ""), 0
+        rest, self.state = ("\ufffd" if self.held else ""), 0
+        self.faults += len(rest)
         self.held.clear()
         return rest
 
 
-def _glued(parts: list[str]) -> list[str]:
-    """Rejoin parts across spaces that have other white space, or an end of the text, beside them."""
+def _words(text: str) -> list[str]:
+    """Parts of a text between spaces, but for spaces that have other white space, or an end of the text, beside them."""
+    parts = text.split(" ")
+    if not BESIDE_SPACE.search(text):
+        return parts
     out = [parts[0]]
     for part in parts[1:]:
         before = out[-1]
@@ -309,6 +355,14 @@ def _glued(parts: list[str]) -> list[str]:
     return out
 
 
+def _little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Codec:
     """A vocabulary file with its piece pattern: encodes texts to little-endian ids and back."""
 
@@ -327,12 +381,13 @@ class Codec:
             self.pieces[rank] = token
             self.whole[rank] = machine.run(0, token) == 0
         self.machine = machine
+        self.table = Strings(self.pieces)
 
     def _piece(self, piece: str) -> bytes:
         found = self._known.get(piece)
         if found is None:
             data = piece.encode()
-            found = np.array(self.transducer.encode(data), "<u4").tobytes()
+            found = _little(self.transducer.encode(data))
             if len(data) <= CACHED_BYTES:
                 if len(self._known) >= PIECE_CACHE:
                     self._known.clear()
@@ -354,22 +409,19 @@ class Codec:
         every space that has no white space beside it: words are looked up whole.
         """
         known, make = self._words.get, self._word
-        parts = _glued(text.split(" "))
+        parts = _words(text)
         out = [known(parts[0]) or make(parts[0])]
         out += [known(p) or make(p) for p in [" " + p for p in parts[1:]]]
         return b"".join(out)
 
+    def decoder(self) -> StreamDecoder:
+        return StreamDecoder(self.pieces, self.whole, self.table, self.machine)
+
     def decode(self, ids: bytes) -> tuple[bytes, bool]:
-        """Bytes of the ids, and whether they are UTF-8: tokens of whole code points leave the machine at rest."""
-        numbers = np.frombuffer(ids, "<u4")
-        pieces = self.pieces
-        data = b"".join([pieces[i] for i in numbers.tolist()])
-        state = 0
-        for at in np.flatnonzero(~self.whole[numbers]):
-            state = self.machine.run(state, pieces[numbers[at]])
-            if state != 0 and (at + 1 == len(numbers) or self.whole[numbers[at + 1]]):
-                return data, False
-        return data, state == 0
+        """UTF-8 of the ids through the streaming decoder, and whether their bytes were UTF-8 as they are."""
+        stream = self.decoder()
+        text = stream.feed(np.frombuffer(ids, "<u4")) + stream.close()
+        return text.encode(), stream.faults == 0
 
 
 @lru_cache(maxsize=2)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
-from riskrank.llm.common import by_batch, texts
+from riskrank.llm.common import Strings, by_batch, texts
 
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ ".encode()  # fixed value: what the library writes for the unknown id
@@ -35,23 +35,6 @@ KNOWN_WORDS = 300_000
 KNOWN_LETTERS = 64  # longer words are encoded anew each time
 
 
-class _Table:
-    """Byte strings side by side, gathered by number."""
-
-    def __init__(self, strings: list[bytes]):
-        self.flat = np.frombuffer(b"".join(strings), np.uint8)
-        self.sizes = np.array([len(s) for s in strings], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The strings of ``numbers`` joined, and where each ends."""
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)
-        return self.flat[at], ends
-
-
 class PieceModel:
     """The pieces of a model file and the pairs that make them.
 
@@ -119,8 +102,8 @@ class PieceModel:
             elif library.is_unknown(i):
                 written[i] = UNKNOWN_TEXT
         self.is_byte = np.array([library.is_byte(i) for i in range(self.size)])
-        self.written = _Table(written)
-        self.decimal = _Table([b"%d," % i for i in range(self.size)])
+        self.written = Strings(written)
+        self.decimal = Strings([b"%d," % i for i in range(self.size)])
         self.probe = _run_period(self)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +210,7 @@ class PieceModel:
         if not odd.any():
             return symbols, sizes
         chars, which = np.unique(symbols[odd], return_inverse=True)
-        table = _Table([chr(c - self.size).encode("utf-8", "surrogatepass") for c in chars.tolist()])
+        table = Strings([chr(c - self.size).encode("utf-8", "surrogatepass") for c in chars.tolist()])
         sizes[odd] = table.sizes[which]
         out = np.repeat(symbols, sizes)
         out[np.repeat(odd, sizes)] = table.gather(which)[0].astype(np.int64) + self.first_byte
