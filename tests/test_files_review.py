@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskrank.models.additive import Settings
 from riskrank.operators import mapping
+from riskrank.models import store
 from riskrank.plans import review
 from riskrank.sources import files, orders
 
@@ -104,8 +105,42 @@ def test_whole_review(inputs, tmp_path):
     customers = tables["model_frame"].count()
     assert tables["additive_explanations"].count() == 10 * customers
     assert tables["logistic_explanations"].count() == 10 * customers
+    assert tables["audit_record"].count() == tables["transaction_time_range"].count() == 1
+    assert tables["label_distribution"].count() == 2
+    assert 0 < tables["accounts_per_entity"].count() <= 20 and tables["top_high_risk"].count() <= 20
+    assert tables["metric_chart"].count() == 9
+    case = tables["case_explanation"].collect()
+    best = tables["model_scores"].filter("split = 'test' and future_aml_event = 1").orderBy(
+        "ebm_probability", ascending=False).first()
+    assert len(case) == 10 and {r.entity_id for r in case} <= {
+        r.entity_id for r in tables["model_scores"].filter(
+            f"ebm_probability = {best.ebm_probability!r}D").collect()}
+    assert tables["logistic_optimality"].filter("not at_optimum").count() == 0
+    loaded = store.additive_from_table(tables["additive_model"])
+    assert loaded.terms == result.models["additive"].terms
+    review.export_reports(result, str(tmp_path / "reports"))
+    assert (tmp_path / "reports" / "model_comparison" / "_SUCCESS").exists()
 
 
 def test_published_windows_are_the_default():
     assert dataclasses.astuple(review.PUBLISHED_WINDOWS) == (
         "2022-09-01", "2022-09-07", "2022-09-08", "2022-09-10")
+
+
+def test_customer_joins_of_bucketed_tables_need_no_exchange(spark, tmp_path):
+    keep = review.keep_as_bucketed_tables("bucketed_", 4, folder=str(tmp_path))
+    customers = spark.range(3000).select(F.concat(F.lit("E"), "id").alias("entity_id"), F.col("id").alias("score"))
+    activity = customers.where("score % 3 > 0").select("entity_id", (F.col("score") * 2).alias("n"))
+    kept = [keep("scorecard", customers), keep("activity", activity)]
+    keep("no_key", spark.range(3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = kept[0].join(kept[1], "entity_id", "left")
+        assert joined.where("n is not null").count() == 2000
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("scorecard", "activity", "no_key"):
+            spark.sql(f"drop table bucketed_{name}")
