@@ -82,7 +82,7 @@ def lane_of(content: list[str], lanes: Column | int) -> Column:
 
 
 def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
-                     hot: HotKeys | None = None) -> DataFrame:
+                     hot: HotKeys | None = None, hashed: bool = False) -> DataFrame:
     """Left equi-join with the hot keys of the left side split over lanes.
 
     ``on`` pairs left and right columns; the right key columns are dropped from
@@ -91,6 +91,8 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]
     other keys stay in lane 0 and are shuffled as they are. Rows with a NULL
     key cannot match, so they are spread over as many lanes as there are
     partitions. ``hot`` may be passed when a cheaper frame has the same keys.
+    ``hashed`` asks for a hash table of the right rows of each partition, which
+    must fit a task, instead of sorting both sides: wide left rows are not held.
     """
     left_keys = [l for l, _ in on]
     right_keys = [r for _, r in on]
@@ -98,8 +100,11 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]
         hot = hot_digests(left, {"joined": left_keys})["joined"]
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = [_common_type(left, l, right, r) for l, r in on]
-    own = [f"_own_{i}" for i in range(len(on))]
-    keyed = left.withColumns({o: F.col(l).cast(kind) for o, l, kind in zip(own, left_keys, common)})
+    # A key of the common type joins as it is: a copy of it would cross the network with every row.
+    own = [l if left.schema[l].dataType == kind else f"_own_{i}"
+           for i, (l, kind) in enumerate(zip(left_keys, common))]
+    cast_keys = {o: F.col(l).cast(kind) for o, l, kind in zip(own, left_keys, common) if o != l}
+    keyed = left.withColumns(cast_keys) if cast_keys else left
     lanes = F.when(_all_present(own), lane_count(own, hot)).otherwise(F.lit(partitions))
     spread = keyed.withColumn("_lane", lane_of(left.columns, lanes))
     # Generated rather than a plain 0 where nothing is hot: a constant would be
@@ -108,10 +113,12 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]
     cast = right.withColumns({t: F.col(r).cast(kind) for t, r, kind in zip(theirs, right_keys, common)})
     copies = cast.drop(*right_keys).withColumn(
         "_right_lane", F.explode(F.sequence(F.lit(0), lane_count(theirs, hot) - 1)))
+    if hashed:
+        copies = copies.hint("shuffle_hash")
     matches = F.col("_lane") == F.col("_right_lane")
     for o, t in zip(own, theirs):
         matches = matches & (F.col(o) == F.col(t))
-    return spread.join(copies, matches, "left").drop("_lane", "_right_lane", *own, *theirs)
+    return spread.join(copies, matches, "left").drop("_lane", "_right_lane", *cast_keys, *theirs)
 
 
 def _common_type(left: DataFrame, left_key: str, right: DataFrame, right_key: str):

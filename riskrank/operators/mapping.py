@@ -17,6 +17,9 @@ from riskrank.session import materialise
 TIME_FORMAT = "yyyy/MM/dd HH:mm"
 ACCOUNT_KEY = ["bank_id", "account_number"]
 ROLES = ["sender", "receiver"]
+LOOKUP_ROWS = 1_000_000  # accounts that are sent whole to every executor
+LOOKUP_BYTES = 64 << 20  # and the bytes of their texts
+HASHED_ROWS = 500_000  # accounts per partition of which a task holds a hash table
 
 
 def clean_accounts(raw: DataFrame) -> DataFrame:
@@ -117,26 +120,71 @@ def customer_accounts(raw_accounts: DataFrame, check: bool = True) -> DataFrame:
     return deduplicate(cleaned, ACCOUNT_KEY)
 
 
+def _few(accounts: DataFrame) -> tuple[bool, int]:
+    """Whether the accounts may be sent to every executor, and how many they are."""
+    texts = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in accounts.columns), F.lit(0))
+    row = accounts.agg(F.count(F.lit(1)).alias("rows"), F.sum(texts.cast("long")).alias("bytes")).first()
+    return row["rows"] <= LOOKUP_ROWS and (row["bytes"] or 0) <= LOOKUP_BYTES, row["rows"]
+
+
+def _owners(accounts: DataFrame, role: str) -> DataFrame:
+    return accounts.select(
+        F.col("bank_id").alias("owner_bank"),
+        F.col("account_number").alias("owner_account"),
+        F.col("entity_id").alias(f"{role}_entity_id"),
+        F.col("entity_name").alias(f"{role}_entity_name"),
+    )
+
+
+def _same_account(cols: list[str]) -> Column:
+    return reduce(and_, (F.col(c) == F.col(o) for c, o in zip(cols, ["owner_bank", "owner_account"])))
+
+
+def small_lookups(transactions: DataFrame, accounts: DataFrame, keys: dict[str, list[str]],
+                  few: bool) -> dict[str, DataFrame]:
+    """The owners per role, for the roles whose accounts are ``_few``.
+
+    If not all accounts are few, those that the transactions name in a role may
+    be. A sketch of each role's keys tells where it is worth looking: a role of
+    few keys is grouped by them, which hardly shuffles anything.
+    """
+    if few:
+        return {role: _owners(accounts, role) for role in keys}
+    guess = transactions.agg(*[F.approx_count_distinct(F.xxhash64(*cols)).alias(role) for role, cols in keys.items()])
+    named, found = guess.first().asDict(), {}
+    for role, cols in keys.items():
+        if named[role] > LOOKUP_ROWS:
+            continue
+        used = transactions.select(*cols).distinct()
+        owners = materialise(_owners(accounts, role).join(used, _same_account(cols), "left_semi"), "named-accounts")
+        if _few(owners)[0]:
+            found[role] = owners
+    return found
+
+
 def enrich_transactions(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     """Attach the owning entity of both accounts; unmatched transactions stay.
 
-    One pass over the bare transactions finds the hot accounts of both roles.
+    Accounts that are few, in all or in one role, are sent to the transactions,
+    which then stay where they are. For the other roles the transactions are
+    shuffled; one pass over the bare ones finds the hot accounts of these roles.
     """
     sides = {"sender": "from", "receiver": "to"}
     keys = {role: [f"{side}_bank_id", f"{side}_account"] for role, side in sides.items()}
-    hot = hot_digests(transactions, keys)
+    few, size = _few(accounts.select(*ACCOUNT_KEY, "entity_id", "entity_name"))
+    small = small_lookups(transactions, accounts, keys, few)
+    large = {role: cols for role, cols in keys.items() if role not in small}
+    hot = hot_digests(transactions, large) if large else {}
+    hashed = size <= HASHED_ROWS * int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     enriched = transactions
-    for role in sides:
-        owners = accounts.select(
-            F.col("bank_id").alias("owner_bank"),
-            F.col("account_number").alias("owner_account"),
-            F.col("entity_id").alias(f"{role}_entity_id"),
-            F.col("entity_name").alias(f"{role}_entity_name"),
-        )
+    for role, cols in large.items():  # before the others, while the rows are narrow
         enriched = spread_left_join(
-            enriched, owners, list(zip(keys[role], ["owner_bank", "owner_account"])),
-            hot=hot[role])
-    return enriched
+            enriched, _owners(accounts, role), list(zip(cols, ["owner_bank", "owner_account"])), hot[role], hashed)
+    for role, owners in small.items():
+        enriched = enriched.join(F.broadcast(owners), _same_account(keys[role]), "left").drop(
+            "owner_bank", "owner_account")
+    return enriched.select(
+        *transactions.columns, *[f"{role}_entity_{part}" for role in sides for part in ("id", "name")])
 
 
 def by_role(transactions: DataFrame, *kept: str) -> DataFrame:
