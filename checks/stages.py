@@ -81,8 +81,7 @@ class Stages:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        joined = mapping.enrich_transactions(self.transactions, self.accounts)
-        return materialise(joined.sortWithinPartitions("transaction_date"), "enriched")
+        return materialise(mapping.enrich_transactions(self.transactions, self.accounts), "enriched")
 
     @property
     def observation(self) -> DataFrame:

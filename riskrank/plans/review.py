@@ -85,10 +85,8 @@ def build_features(accounts_raw: DataFrame, transactions_raw: DataFrame, windows
     t["clean_transactions"] = keep(
         "clean_transactions", mapping.clean_transactions(transactions_raw))
     enriched = mapping.enrich_transactions(t["clean_transactions"], t["customer_accounts"])
-    # Sorted inside each task, without a shuffle: row groups then cover few days
-    # and a date window skips most of them.
-    t["enriched_transactions"] = keep(
-        "enriched_transactions", enriched.sortWithinPartitions("transaction_date"))
+    # In the order they come: an order by date would hold and spill every wide row.
+    t["enriched_transactions"] = keep("enriched_transactions", enriched)
     observation = temporal.within_dates(
         t["enriched_transactions"], windows.observation_start, windows.observation_end)
     outcome = temporal.within_dates(

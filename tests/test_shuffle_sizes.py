@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskrank.operators import mapping
+from riskrank.plans import review
+from riskrank.schemas import ACC_RAW, TX_RAW
 
 ENDS = "from_bank_id string, from_account string, to_bank_id string, to_account string, n int"
 
@@ -53,3 +55,24 @@ def test_accounts_join_alike_by_broadcast_and_by_shuffle(monkeypatch, transactio
     assert rows(got) == rows(want)
     joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftOuter" in line]
     assert sum("_lane" in line for line in joins) == shuffled and len(joins) == 2
+
+
+def test_enriched_rows_are_written_without_an_order(spark):
+    kept = {}
+
+    class Seen(Exception):
+        pass
+
+    def keep(name, df):
+        kept[name] = df
+        if name == "enriched_transactions":
+            raise Seen
+        return df
+
+    raw = spark.createDataFrame(
+        [("2022/09/01 10:00", "1", "A1", "2", "A2", 1.0, "EUR", 2.0, "USD", "Wire", 0)], TX_RAW)
+    owners = spark.createDataFrame([("Bank", "1", "A1", "E1", "One"), ("Bank", "2", "A2", "E2", "Two")], ACC_RAW)
+    with pytest.raises(Seen):
+        review.build_features(owners, raw, review.PUBLISHED_WINDOWS, keep=keep)
+    assert "transaction_date" in kept["enriched_transactions"].columns
+    assert "Sort [transaction_date" not in plan_of(kept["enriched_transactions"])
