@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskrank.operators import mapping
+from riskrank.operators import behaviour, mapping
 from riskrank.plans import review
 from riskrank.schemas import ACC_RAW, TX_RAW
 
@@ -76,3 +76,19 @@ def test_enriched_rows_are_written_without_an_order(spark):
         review.build_features(owners, raw, review.PUBLISHED_WINDOWS, keep=keep)
     assert "transaction_date" in kept["enriched_transactions"].columns
     assert "Sort [transaction_date" not in plan_of(kept["enriched_transactions"])
+
+
+def test_activity_partitions_follow_the_number_of_events(spark, monkeypatch, rows):
+    events = spark.range(1200).select(
+        F.sha2((F.col("id") % 1100).cast("string"), 256).alias("transaction_id"),
+        F.lit("2022-09-01").cast("date").alias("transaction_date"), F.lit("Wire").alias("payment_format"),
+        F.concat(F.lit("E"), F.col("id") % 70).alias("entity_id"), F.lit("E1").alias("counterparty_entity_id"),
+        F.lit("7").alias("counterparty_bank_id"), F.lit("OUT").alias("direction"), F.lit("EUR").alias("currency"),
+        F.lit(1).alias("is_cross_bank"), F.lit(0).alias("is_self_transfer"), F.lit(0.5).alias("amount_zscore"))
+    whole = rows(behaviour.customer_activity(events, {}))
+    monkeypatch.setattr(behaviour, "EVENTS_PER_TASK", 100)
+    many = behaviour.customer_activity(events, {})
+    assert "hashpartitioning(entity_id" in plan_of(many) and ", 12), REPARTITION_BY_NUM" in plan_of(many)
+    assert rows(many) == whole
+    assert sum(r["transaction_count"] for r in many.collect()) == 1200 - sum(
+        1 for i in range(100) if i % 70 == (i + 1100) % 70)
