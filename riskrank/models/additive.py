@@ -197,31 +197,33 @@ def _block(row, terms: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _block_sums(block: tuple, starts: np.ndarray, tables: np.ndarray, intercepts: np.ndarray,
-                active: list[int]) -> np.ndarray:
-    """Fixed-point gradient, curvature and row sums of a block: (3, bags, bins + 1).
+                active: list[int], counted: bool) -> np.ndarray:
+    """Fixed-point gradient and curvature sums of a block, and row counts if asked: (2 or 3, active bags, bins + 1).
 
     The extra cell of a bag carries its hold-out loss and row count.
     """
     bins, labels, held = block
-    bags, width = tables.shape
-    total = np.zeros((3, bags, width + 1), dtype=np.int64)
+    width = tables.shape[1]
+    total = np.zeros((3 if counted else 2, len(active), width + 1), dtype=np.int64)
     cells = bins.astype(np.int64) + starts[:, None]
     y = labels.astype(float)
-    for bag in active:
+    for at, bag in enumerate(active):
         margin = intercepts[bag] + tables[bag][cells].sum(axis=0)
         p = 1.0 / (1.0 + np.exp(-margin))
         out = (held >> bag) & 1 == 1
         loss = np.logaddexp(0.0, margin[out]) - y[out] * margin[out]
-        total[0, bag, width] = np.rint(loss * FIXED_POINT).astype(np.int64).sum()
-        total[2, bag, width] = int(out.sum())
+        total[0, at, width] = np.rint(loss * FIXED_POINT).astype(np.int64).sum()
+        if counted:
+            total[2, at, width] = int(out.sum())
         inside = cells[:, ~out]
         grad = np.rint((y - p)[~out] * FIXED_POINT)
         curve = np.rint((p * (1.0 - p))[~out] * FIXED_POINT)
         for line, begin, end in zip(inside - starts[:, None], starts, [*starts[1:], width]):
             # bincount adds doubles: whole numbers below 2^53 stay exact.
-            total[0, bag, begin:end] += np.bincount(line, grad, end - begin).astype(np.int64)
-            total[1, bag, begin:end] += np.bincount(line, curve, end - begin).astype(np.int64)
-            total[2, bag, begin:end] += np.bincount(line, minlength=end - begin)
+            total[0, at, begin:end] += np.bincount(line, grad, end - begin).astype(np.int64)
+            total[1, at, begin:end] += np.bincount(line, curve, end - begin).astype(np.int64)
+            if counted:
+                total[2, at, begin:end] += np.bincount(line, minlength=end - begin)
     return total
 
 
@@ -240,13 +242,19 @@ def _summed(blocks: RDD, sent: tuple, one_block, shape: tuple[int, ...]) -> np.n
     return total
 
 
-def _round_sums(blocks: RDD, tables: np.ndarray, intercepts: np.ndarray,
-                offsets: np.ndarray, active: list[int]) -> dict[str, np.ndarray]:
-    """Sums of all blocks as (bags, bins + 1) arrays, whatever the data size."""
-    total = _summed(blocks, (offsets[:-1], tables, intercepts, active), _block_sums,
-                    (3, tables.shape[0], tables.shape[1] + 1))
+def _round_sums(blocks: RDD, tables: np.ndarray, intercepts: np.ndarray, offsets: np.ndarray, active: list[int],
+                counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Sums of all blocks as (bags, bins + 1) arrays, whatever the data size.
+
+    Only sums of active bags come back; those of the others are zero. Row counts are the same in
+    every round, so ``counts`` takes those of an earlier one, in which all bags were active.
+    """
+    planes, bags, cells = 2 if counts is not None else 3, tables.shape[0], tables.shape[1] + 1
+    total = np.zeros((planes, bags, cells), dtype=np.int64)
+    total[:, active] = _summed(blocks, (offsets[:-1], tables, intercepts, active, counts is None), _block_sums,
+                               (planes, len(active), cells))
     return {"gradient": total[0] / FIXED_POINT, "curvature": total[1] / FIXED_POINT,
-            "n": total[2].astype(float)}
+            "n": total[2].astype(float) if counts is None else counts}
 
 
 @dataclass(frozen=True)
@@ -356,12 +364,13 @@ def fit_additive(train: DataFrame, numeric: list[str] = MODEL_NUMERIC,
     best_loss, best_round = np.full(bags, np.inf), np.zeros(bags, dtype=int)
     first_loss = np.zeros(bags)
     active = list(range(bags))
-    rows_per_bin, rows = None, 0.0
+    rows_per_bin, rows, counts = None, 0.0, None
     shared, curvatures = Shared.of(terms, settings.shared_cells), None
     try:
         for current in range(settings.max_rounds + 1):
-            sums = _round_sums(blocks, tables, intercepts, offsets, active)
+            sums = _round_sums(blocks, tables, intercepts, offsets, active, counts)
             if current == 0:
+                counts = sums["n"]
                 rows_per_bin = sums["n"][:, :width].sum(axis=0)
                 # The first pass at margin 0 gives the class balance of each bag.
                 span = slice(int(offsets[0]), int(offsets[1]))

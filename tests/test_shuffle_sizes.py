@@ -1,8 +1,10 @@
 """What crosses the network, is sorted or is held: joins of accounts, activity, boosting sums."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskrank.models import additive
 from riskrank.operators import behaviour, mapping
 from riskrank.plans import review
 from riskrank.schemas import ACC_RAW, TX_RAW
@@ -92,3 +94,17 @@ def test_activity_partitions_follow_the_number_of_events(spark, monkeypatch, row
     assert rows(many) == whole
     assert sum(r["transaction_count"] for r in many.collect()) == 1200 - sum(
         1 for i in range(100) if i % 70 == (i + 1100) % 70)
+
+
+def test_later_rounds_bring_back_sums_of_active_bags_without_counts(spark):
+    rng = np.random.default_rng(3)
+    blocks = [(rng.integers(0, 4, (2, 50)), rng.integers(0, 2, 50).astype(np.uint8),
+               rng.integers(0, 8, 50).astype(np.uint32)) for _ in range(3)]
+    offsets, tables, intercepts = np.array([0, 5, 10]), rng.normal(size=(3, 10)), rng.normal(size=3)
+    rdd = spark.sparkContext.parallelize(blocks, 3)
+    first = additive._round_sums(rdd, tables, intercepts, offsets, [0, 1, 2])
+    later = additive._round_sums(rdd, tables, intercepts, offsets, [0, 2], first["n"])
+    assert additive._block_sums(blocks[0], offsets[:-1], tables, intercepts, [2], False).shape == (2, 1, 11)
+    for name in ("gradient", "curvature"):
+        assert (later[name][[0, 2]] == first[name][[0, 2]]).all() and not later[name][1].any()
+    assert (later["n"] == first["n"]).all() and first["n"][:, :5].sum() + first["n"][:, 10].sum() == 450
