@@ -85,7 +85,7 @@ def build_features(accounts_raw: DataFrame, transactions_raw: DataFrame, windows
     t["clean_transactions"] = keep(
         "clean_transactions", mapping.clean_transactions(transactions_raw))
     enriched = mapping.enrich_transactions(t["clean_transactions"], t["customer_accounts"])
-    # In the order they come: an order by date would hold and spill every wide row.
+    # In the order they come: an order by date would hold all wide rows of a task.
     t["enriched_transactions"] = keep("enriched_transactions", enriched)
     observation = temporal.within_dates(
         t["enriched_transactions"], windows.observation_start, windows.observation_end)
