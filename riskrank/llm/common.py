@@ -22,14 +22,16 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def by_batch(df: DataFrame, build: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Replace every Arrow batch by the columns that ``build`` returns for it."""
+def by_batch(df: DataFrame, build: Callable[[pa.RecordBatch], dict], schema: str,
+             rows: int | None = None) -> DataFrame:
+    """Replace every Arrow batch, or every ``rows`` rows of it, by the columns that ``build`` returns for it."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = build(batch)
+            step = rows or batch.num_rows
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step or 1)):
+                made = build(part)
                 yield pa.RecordBatch.from_arrays([pa.array(made[n]) if not isinstance(made[n], pa.Array)
                                                   else made[n] for n in names], names)
 

@@ -29,6 +29,7 @@ from riskrank.session import materialise
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 WORD_CACHE = 1 << 19
+SCORED_ROWS = 1_000  # texts that a worker holds as Python objects at once
 TRAIT_CACHE = 60_000
 
 
@@ -283,13 +284,18 @@ def score_toxicity(df: DataFrame, model: Model, how: Fit = Fit(), id_col: str =
                 **{n: pa.array(c, k) for n, c, k in zip(names, zip(*rows), kinds)}}
 
     return by_batch(texts(df, id_col, text_col), score, "doc_id long, score double, predicted int, n_offending int, "
-                    "worst_start int, worst_end int, worst_score double")
+                    "worst_start int, worst_end int, worst_score double", SCORED_ROWS)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """Rows whose document is not predicted toxic; rows with a null id stay."""
+    """Rows whose document is not predicted toxic; rows with a null id stay.
+
+    The ids to drop are written before the rows meet them: no executor scores texts and
+    shuffles rows at the same time, and few ids are sent to the rows, which then stay
+    where they are.
+    """
     model = fit_toxicity(df, labels, how, id_col, text_col)
-    toxic = score_toxicity(df, model, how, id_col, text_col).where("predicted = 1 and doc_id is not null") \
-        .select(F.col("doc_id").alias("_toxic_id")).distinct()
+    toxic = materialise(score_toxicity(df, model, how, id_col, text_col).where("predicted = 1 and doc_id is not null")
+                        .select(F.col("doc_id").alias("_toxic_id")).distinct(), "toxic-ids")
     return df.join(toxic, F.col(id_col) == F.col("_toxic_id"), "left_anti")
