@@ -7,10 +7,11 @@ prefix ends in one token only, and the encoding of a longer prefix is found from
 those of the shorter ones at which a token may begin.
 
 A state is the set of such beginnings: for each, the place in the trie of tokens
-reached since, and the tokens of its prefix's encoding that are not written yet.
-What all beginnings agree on is written at once; the longest token bounds how
-long they can disagree. States and transitions are made when first taken and
-remembered; when there are too many, the memory is emptied and refilled.
+reached since, and the token that the encoding of its prefix ends in. Each byte
+writes the token in which the prefix up to it ends; read backwards from the last
+one, every token tells by its length where the one before it ended. States and
+transitions are made when first taken and remembered; when there are too many, the
+memory is emptied and refilled.
 
 ``Utf8Machine`` follows UTF-8 byte by byte; ``StreamDecoder`` turns ids into text
 chunk by chunk and holds back only the bytes of an unfinished code point.
@@ -32,26 +33,27 @@ from pyspark.sql import DataFrame
 
 from riskrank.llm.common import Strings, by_batch, texts
 
-MOST_STATES = 400_000
+MOST_STEPS = 1_000_000
 MOST_PAIRS = 300_000
-MOST_PATHS = 1_000_000
 PIECE_CACHE = 400_000
 CACHED_BYTES = 128  # longer pieces, such as runs of white space, are encoded anew each time
 BESIDE_SPACE = re.compile(r"\A | \Z| \s|\s ")
-WRITE_BEYOND = 8  # tokens held back before looking for what all beginnings agree on
 
 
 class Transducer:
     """Encoder for ranks as tiktoken has them: the pair of least rank merges first, the leftmost of equals.
 
-    A path is the encoding of a prefix, kept as (path before, last token) under a
-    number. A state is a flat tuple (trie node * 256, path, trie node * 256, path, ...),
-    the last pair being the beginning at the place reached.
+    A state is a tuple (shape * 256, token, token, ...): the shape stands for the places
+    in the trie that its beginnings have reached, longest first, and the tokens are those
+    before the beginnings, -1 at the front of the piece. The last beginning is that at
+    the place reached. What a byte does to the places is the same for all states of a
+    shape, and there are far fewer shapes than states.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self._size = {i: len(t) for t, i in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
         self._parts: tuple[dict, dict] = ({}, {})
@@ -75,14 +77,12 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self._before: list[int] = [-1]
-        self._last: list[int] = [-1]
-        self._length: list[int] = [0]
-        self._path_of: dict[int, int] = {}
-        self._states: list[list[int]] = [[0, 0]]
-        self._number: dict[tuple[int, ...], int] = {}
-        self._steps: dict[int, int] = {}
-        self._written: dict[int, tuple[int, ...]] = {}
+        self._shapes: list[tuple[int, ...]] = [(0,)]  # trie nodes * 256
+        self._shape_of: dict[tuple[int, ...], int] = {(0,): 0}
+        self._shape_steps: dict[int, tuple[int, tuple[int, ...], tuple[tuple[int, int], ...]]] = {}
+        self._states: list[tuple[int, ...]] = [(0, -1)]
+        self._number: dict[tuple[int, ...], int] = {(0, -1): 0}
+        self._steps: dict[int, int] = {}  # state * 256 + byte to the state after, times 256
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The pair whose merge makes a token from its own bytes; () for a byte, None if merging does not make it."""
@@ -145,111 +145,69 @@ class Transducer:
             self._parts[side][token] = found
         return found
 
-    def _path(self, before: int, token: int) -> int:
-        key = before << 32 | token
-        found = self._path_of.get(key)
-        if found is None:
-            found = self._path_of[key] = len(self._last)
-            self._before.append(before)
-            self._last.append(token)
-            self._length.append(self._length[before] + 1 if before >= 0 else 1)
-        return found
+    def _shape_step(self, key: int) -> tuple[int, tuple[int, ...], tuple[tuple[int, int], ...]]:
+        """What a byte does to a shape: the shape after (times 256), which beginnings stay, and the tokens that may end.
 
-    def _tokens(self, path: int, above: int = 0) -> list[int]:
-        """Tokens of a path, from the one after ``above``."""
-        out = []
-        while path > 0 and path != above:
-            out.append(self._last[path])
-            path = self._before[path]
-        return out[::-1]
+        Beginnings are told by their place in a state; a token that may end comes with that of its beginning.
+        """
+        byte = key & 255
+        nodes, kept, ends = [], [], []
+        for at, node in enumerate(self._shapes[key >> 8], 1):
+            child, token = self._edges.get(node | byte, (-1, -1))
+            if token >= 0:
+                ends.append((at, token))
+            if child >= 0:
+                nodes.append(child)
+                kept.append(at)
+        nodes = (*nodes, 0)
+        shape = self._shape_of.get(nodes)
+        if shape is None:
+            shape = self._shape_of[nodes] = len(self._shapes)
+            self._shapes.append(nodes)
+        found = self._shape_steps[key] = (shape << 8, tuple(kept), tuple(ends))
+        return found
 
     def _make(self, number: int, byte: int) -> int:
-        """The state after ``byte``; its number is negative if tokens are written on the way."""
-        edge, last, pair = self._edges.get, self._last, self._pairs.get
-        moved: list[int] = []
-        ended = -1
-        places = iter(self._states[number])
-        for node in places:
-            path = next(places)
-            below = edge(node | byte)
-            if below is None:
-                continue
-            child, token = below
-            if ended < 0 and token >= 0:
-                before = last[path]
-                if before < 0:
-                    ended = self._path(path, token)
-                else:
-                    fits = pair(before << 32 | token)
-                    if fits or fits is None and self.agree(before, token):
-                        ended = self._path(path, token)
-            if child >= 0:
-                moved.append(child)
-                moved.append(path)
-        if ended < 0:
-            raise ValueError(f"no token ends in byte {byte}: the ranks lack single bytes")
-        moved.append(0)
-        moved.append(ended)
-        written: tuple[int, ...] = ()
-        if self._length[ended] > WRITE_BEYOND:
-            written, moved = self._write(moved)
-        if written:
-            # Paths tell the prefixes apart until something is written; states can only coincide after that.
-            key = tuple(moved)
-            after = self._number.get(key)
-            if after is None:
-                after = self._number[key] = len(self._states)
-                self._states.append(moved)
-            self._written[number << 8 | byte] = written
-            after = -after - 1
+        """The state after ``byte``; states count 256 each."""
+        state = self._states[number >> 8]
+        shape, kept, ends = self._shape_steps.get(state[0] | byte) or self._shape_step(state[0] | byte)
+        for at, token in ends:
+            before = state[at]
+            if before < 0:
+                break
+            fits = self._pairs.get(before << 32 | token)
+            if fits or fits is None and self.agree(before, token):
+                break
         else:
-            after = len(self._states)
+            raise ValueError(f"no token ends in byte {byte}: the ranks lack single bytes")
+        moved = (shape, *[state[at] for at in kept], token)
+        after = self._number.get(moved)
+        if after is None:
+            after = self._number[moved] = len(self._states) << 8
             self._states.append(moved)
-        self._steps[number << 8 | byte] = after
+        self._steps[number | byte] = after
         return after
 
-    def _write(self, moved: list[int]) -> tuple[tuple[int, ...], list[int]]:
-        """Cut off the tokens that all beginnings share, but for the last of them, which later seams need."""
-        routes = []
-        for path in moved[1::2]:
-            route = []
-            while path >= 0:
-                route.append(path)
-                path = self._before[path]
-            routes.append(route[::-1])
-        shared = 0
-        for places in zip(*routes):
-            if len(set(places)) > 1:
-                break
-            shared += 1
-        root = routes[0][shared - 1]
-        tokens = self._tokens(root)
-        if len(tokens) < 2:
-            return (), moved
-        fresh = {root: self._path(-1, tokens[-1])}
-        for route in routes:
-            for path in route[shared:]:
-                if path not in fresh:
-                    fresh[path] = self._path(fresh[self._before[path]], self._last[path])
-        return tuple(tokens[:-1]), [fresh[m] if at % 2 else m for at, m in enumerate(moved)]
-
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > MOST_STATES or len(self._last) > MOST_PATHS:
+        if len(self._steps) > MOST_STEPS or len(self._shape_steps) > MOST_STEPS:
             self._reset()
-        steps, number, out = self._steps, 0, []
+        step, number, taken = self._steps.get, 0, []
         for byte in piece:
-            after = steps.get(number << 8 | byte)
+            after = step(number | byte)
             if after is None:
                 after = self._make(number, byte)
-            if after < 0:
-                out.extend(self._written[number << 8 | byte])
-                after = -after - 1
+            taken.append(after)
             number = after
-        out.extend(self._tokens(self._states[number][-1]))
+        states, size, out, at = self._states, self._size, [], len(piece) - 1
+        while at >= 0:
+            token = states[taken[at] >> 8][-1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
         return out
 
 
