@@ -15,7 +15,7 @@ over hashed slices, so no length's pieces meet in one task.
 from __future__ import annotations
 
 import bisect
-import re
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterable
@@ -35,7 +35,9 @@ CACHED_CHARS = 64
 CHUNK_CHARS = 1 << 20
 JOINED = 64
 TAIL = ".,!?;:"
-ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the vocabulary
+BAR = "|"
+LATIN_END = "\u0250"  # letters below were letters in every version of Unicode
+ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, but not to the vocabulary
 
 
 @dataclass(frozen=True)
@@ -63,15 +65,24 @@ class Coder:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        added = [re.escape(token.content) for token in self.whole.get_added_tokens_decoder().values()]
-        self.uncut = re.compile("|".join([ODD_SPACE.pattern, *added]))
+        self.uncut = [*ODD_SPACE, *(token.content for token in self.whole.get_added_tokens_decoder().values())]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a stem is in lower case, its word may hold no added token
+        # Words of letters are as the splitter would leave them.
+        own = json.loads(self.tokenizer.to_str())
+        self.letters = Tokenizer.from_str(json.dumps(own | {
+            "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]},
+            "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {
+                "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}))
+        self.bare = Tokenizer.from_str(json.dumps(own | {
+            "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.letters.encode_special_tokens = self.bare.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, at in self.tokenizer.get_vocab().items():
             self.ends[at] = token.endswith("</w>")
+        bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
 
     def _coded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -79,55 +90,80 @@ class Coder:
     def _coded_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: Iterable[str]) -> None:
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        if len(self.stems) > WORD_CACHE:
-            self.stems.clear()
-        parts = []
+    def _learn(self, words: set[str]) -> list[str]:
+        """Adds words to those known, and their stems, which are words too. Returns the long ones among them."""
+        known = self.known
+        parts, stems = [], set()
         for word in words:
-            stem = word.rstrip(TAIL)
-            # Stops right behind a letter are a piece of their own.
-            parts.append((word, stem.lower() if stem.isascii() else stem, word[len(stem):])
-                         if stem and _stays_letter(stem[-1]) else (word, word, ""))
-        fresh = [s for s in {s for _, s, _ in parts} if s not in self.stems]
-        plain = [s for s in fresh if s.isalpha()]
-        groups = [plain[at:at + JOINED] for at in range(0, len(plain), JOINED)]
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(
-                [" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(coded.ids, "<u4")
+            if word.isascii() and word.isalpha():
+                stem, tail = word.lower(), ""
+            else:
+                stem = word.rstrip(TAIL)
+                # Stops right behind a letter are a piece of their own.
+                if stem and _stays_letter(stem[-1]):
+                    stem, tail = stem.lower() if stem.isascii() else stem, word[len(stem):]
+                else:
+                    stem, tail = word, ""
+            if tail:
+                parts.append((word, stem, tail))
+                stems.add(tail)
+            elif stem != word:
+                parts.append((word, stem, tail))
+            stems.add(stem)
+        fresh = stems.difference(known)
+        alpha = [s for s in fresh if s.isalpha()]
+        self._learn_letters([s for s in alpha if s.isascii()], self.bare)
+        self._learn_letters([s for s in alpha if not s.isascii() and max(s) < LATIN_END and s.lower().isalpha()],
+                            self.letters)
+        self._learn_letters([s for s in alpha if s not in known], self.tokenizer)
+        self._learn_others([s for s in fresh if s not in known])
+        for word, stem, tail in parts:
+            known[word] = known[stem] + known[tail] if tail else known[stem]
+        return [w for w in (*words, *fresh) if len(w) > CACHED_CHARS]
+
+    def _learn_letters(self, fresh: list[str], tokenizer: Tokenizer) -> None:
+        """Words of letters alone: each ends in the first token that carries the word end."""
+        known = self.known
+        for group, ids in self._coded_groups(fresh, " ", tokenizer):
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group):
                 data, begin = ids.tobytes(), 0
-                for stem, cut in zip(group, cuts.tolist()):
-                    self.stems[stem] = data[4 * begin:4 * cut]
+                for word, cut in zip(group, (4 * cuts).tolist()):
+                    known[word] = data[begin:cut]
                     begin = cut
-        for stem in fresh:
-            if stem not in self.stems:
-                self.stems[stem] = self._coded(stem)
-        for _, _, tail in parts:
-            if tail and tail not in self.stems:
-                self.stems[tail] = self._coded(tail)
-        for word, stem, tail in parts:
-            self.known[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
-        for word, stem, _ in parts:  # long ones served this chunk only
-            if len(word) > CACHED_CHARS:
-                self.stems.pop(stem, None)
+
+    def _learn_others(self, fresh: list[str]) -> None:
+        """Any words: those without a bar are told apart by bars between them, the rest are coded one by one."""
+        known = self.known
+        if self.bar is not None:
+            for group, ids in self._coded_groups([s for s in fresh if BAR not in s], f" {BAR} ", self.tokenizer):
+                bars = np.flatnonzero(ids == self.bar)
+                if len(bars) == len(group) - 1:
+                    data, begin = ids.tobytes(), 0
+                    for word, at in zip(group, (4 * np.append(bars, len(ids))).tolist()):
+                        known[word] = data[begin:at]
+                        begin = at + 4
+        for word in fresh:
+            if word not in known:
+                known[word] = self._coded(word)
+
+    @staticmethod
+    def _coded_groups(words: list[str], between: str, tokenizer: Tokenizer) -> Iterable[tuple[list[str], np.ndarray]]:
+        groups = [words[at:at + JOINED] for at in range(0, len(words), JOINED)]
+        coded = tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        return zip(groups, (np.array(c.ids, "<u4") for c in coded))
 
     def all_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if self.uncut.search(t) else t.split() for t in texts]
-        fresh = {w for words in split if words for w in words if w not in self.known}
-        if fresh:
-            self._learn(fresh)
-            if len(self.known) < len(fresh) or not all(w in self.known for words in split if words for w in words):
-                self._learn({w for words in split if words for w in words})
-        known = self.known
+        split = [None if any(mark in t for mark in self.uncut) else t.split() for t in texts]
+        known, words = self.known, set().union(*filter(None, split))
+        if len(known) > WORD_CACHE:
+            known.clear()
+        long = self._learn(words.difference(known))
         out = [self._coded_whole(t) if words is None else b"".join([known[w] for w in words])
                for t, words in zip(texts, split)]
-        for word in fresh:
-            if len(word) > CACHED_CHARS:
-                known.pop(word, None)
+        for word in long:  # they serve this chunk only
+            known.pop(word, None)
         return out
 
     def chunks(self, texts: list[str]) -> Iterable[bytes]:
