@@ -31,6 +31,7 @@ WORD = re.compile(r"\w+")
 WORD_CACHE = 1 << 19
 SCORED_ROWS = 1_000  # texts that a worker holds as Python objects at once
 TRAIT_CACHE = 60_000
+WEIGHTLESS = frozenset()
 
 
 @dataclass(frozen=True)
@@ -158,6 +159,24 @@ class _Traits(dict):
         return kept
 
 
+def count_traits(batch: pa.RecordBatch, known: _Traits) -> dict:
+    """Per trait: the texts of the batch that have it, and the sum of their labels.
+
+    Counted in place: the traits of all the texts side by side would take many times the texts' size.
+    """
+    found, toxic = np.zeros(known.how.places, np.int32), np.zeros(known.how.places, np.int64)
+    for text, mark in zip(batch.column("text"), batch.column("toxic")):
+        own: set[int] = set()
+        for word in set(WORD.findall(text.as_py())):
+            own.update(known[word])
+        places = np.fromiter(own, np.int64, len(own))
+        found[places] += 1
+        toxic[places] += mark.as_py()
+    places = np.flatnonzero(found)
+    return {"trait": pa.array(places), "spread": pa.array(found[places].astype(np.int64)),
+            "toxic": pa.array(toxic[places])}
+
+
 def sample_rows(df: DataFrame, labels: DataFrame, how: Fit, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(doc_id, text, toxic): at most ``how.sample`` labelled documents that are not held out."""
@@ -186,21 +205,9 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str
         return Model({}, how.start)
     known = _Traits(how)
 
-    def spread(batch: pa.RecordBatch) -> dict:
-        found, toxic = [], []
-        for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            own: set[int] = set()
-            for word in set(WORD.findall(text)):
-                own.update(known[word])
-            places = np.fromiter(own, np.int64, len(own))
-            found.append(places)
-            toxic.append(np.full(len(places), mark, np.int64))
-        places, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        return {"trait": pa.array(places), "spread": pa.array(np.bincount(inverse, minlength=len(places))),
-                "toxic": pa.array(np.bincount(inverse, np.concatenate(toxic), len(places)).astype(np.int64))}
-
     # Traits that no toxic document has are of no use and stay behind.
-    counted = by_batch(single.select("text", "toxic"), spread, "trait long, spread long, toxic long") \
+    counted = by_batch(single.select("text", "toxic"), lambda batch: count_traits(batch, known),
+                       "trait long, spread long, toxic long") \
         .groupBy("trait").agg(F.sum("spread").alias("spread"), F.sum("toxic").alias("toxic")).where("toxic > 1")
     best = counted.withColumn("evidence", evidence(F.col("toxic"), F.col("spread"), positives, bags)) \
         .where(F.col("evidence") >= how.evidence).orderBy(F.desc("evidence"), "trait").limit(how.traits)
@@ -243,7 +250,8 @@ class _Weights(dict):
     def __missing__(self, word: str) -> frozenset:
         if len(self) >= WORD_CACHE:
             self.clear()
-        kept = self[word] = frozenset(t for t in traits(word, self.how) if t in self.model.weights)
+        # Most words have none, and share one empty set.
+        kept = self[word] = frozenset(t for t in traits(word, self.how) if t in self.model.weights) or WEIGHTLESS
         return kept
 
 

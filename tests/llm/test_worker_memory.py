@@ -1,5 +1,10 @@
 """What workers of the toxicity stage hold at once."""
 
+import tracemalloc
+from collections import Counter
+
+import pyarrow as pa
+
 from riskrank.llm import common, toxicity
 
 
@@ -23,3 +28,31 @@ def test_workers_take_few_rows_at_once(spark):
     made = common.by_batch(spark.range(0, 2_501, 1, 1), build, "id long, rows long", 1_000).collect()
     assert [r.id for r in made] == list(range(2_501))
     assert sorted({r.rows for r in made}) == [501, 1_000]
+
+
+def test_traits_of_many_texts_are_counted_without_holding_them_all():
+    how = toxicity.Fit(places=1 << 12)
+    words = [f"w{i:05}" for i in range(1_000)]
+    texts = [" ".join(words[i:] + words[:i // 2]) for i in range(600)]
+    marks = [i % 3 % 2 for i in range(600)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": pa.array(marks, pa.int32())})
+    known = toxicity._Traits(how)
+    for word in words:
+        known[word]
+    tracemalloc.start()
+    made = toxicity.count_traits(batch, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    owned = [{t for w in text.split() for t in toxicity.traits(w, how)} for text in texts]
+    assert peak < 8 * sum(map(len, owned)) / 4  # one number per text and trait takes four times that
+    spread, toxic = Counter(), Counter()
+    for own, mark in zip(owned, marks):
+        spread.update(own)
+        toxic.update(own if mark else ())
+    assert {t: (s, y) for t, s, y in zip(*(made[n].to_pylist() for n in ("trait", "spread", "toxic")))} == \
+        {t: (s, toxic[t]) for t, s in spread.items()}
+
+
+def test_words_without_weight_share_one_set():
+    known = toxicity._Weights(toxicity.Model({}, -6.0), toxicity.Fit())
+    assert known["fine"] is known["day"]
