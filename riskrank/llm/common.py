@@ -22,12 +22,32 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+_kept: dict[object, object] = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` builds, kept by the Python worker under ``key`` for as long as its tasks are for that key."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget_others(key: object = None) -> None:
+    """Drop what earlier tasks left in this worker: Spark hands one worker to the tasks of all operators in turn."""
+    for other in [k for k in _kept if k != key]:
+        del _kept[other]
+
+
 def by_batch(df: DataFrame, build: Callable[[pa.RecordBatch], dict], schema: str,
-             rows: int | None = None) -> DataFrame:
-    """Replace every Arrow batch, or every ``rows`` rows of it, by the columns that ``build`` returns for it."""
+             rows: int | None = None, keeps: object = None) -> DataFrame:
+    """Replace every Arrow batch, or every ``rows`` rows of it, by the columns that ``build`` returns for it.
+
+    ``keeps``: the key of what ``build`` takes from ``kept_by_worker``.
+    """
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(keeps)
         for batch in batches:
             step = rows or batch.num_rows
             for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step or 1)):

@@ -36,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskrank.llm.common import by_batch, lists, mix, texts, utf8
+from riskrank.llm.common import by_batch, forget_others, lists, mix, texts, utf8
 from riskrank.llm.components import components
 from riskrank.session import materialise, release
 
-WORD_CACHE = 1 << 19
-CHUNK_SHINGLES = 1 << 21
+WORD_CACHE = 1 << 17
+CHUNK_SHINGLES = 1 << 18
+HELD_ROWS = 1_000  # texts that a worker holds as Python objects at once
 CODE_BITS = 2048
 CODE_CHUNK = 256
 MOST_BITS = 27  # the filter of ids takes 2 ** 27 bits, 16 MB, at most
@@ -150,7 +151,7 @@ def _sketch_batch(batch: pa.RecordBatch, how: NearDup, known: _Words) -> dict:
 def sketches(docs: DataFrame, how: NearDup) -> DataFrame:
     known = _Words()
     return by_batch(docs, lambda b: _sketch_batch(b, how, known),
-                    "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>")
+                    "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>", HELD_ROWS)
 
 
 def _members_only(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -180,7 +181,7 @@ def _shingle_sets(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
         return {"id": batch.column("doc_id"),
                 "grams": pa.array([shingles(t, how.words, known).tobytes() for t in utf8(batch)], pa.binary())}
 
-    sets = materialise(by_batch(_members_only(docs, needed), build, "id long, grams binary"), "sets")
+    sets = materialise(by_batch(_members_only(docs, needed), build, "id long, grams binary", HELD_ROWS), "sets")
     release(needed)
     return sets
 
@@ -191,6 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             shared, total = [], []
             for one, two in zip(batch.column("grams_a"), batch.column("grams_b")):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterable
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskrank.llm.common import by_batch, texts
+from riskrank.llm.common import by_batch, kept_by_worker, texts
 from riskrank.session import materialise
 
 WORD_CACHE = 900_000
 CACHED_CHARS = 64
+CUT_ROWS = 1_000  # texts that a worker holds as Python objects at once
 CHUNK_CHARS = 1 << 20
 JOINED = 64
 TAIL = ".,!?;:"
@@ -64,6 +66,8 @@ class Coder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; more threads only leave a heap each, of which little is given back.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
         self.uncut = [*ODD_SPACE, *(token.content for token in self.whole.get_added_tokens_decoder().values())]
         self.tokenizer = Tokenizer.from_file(path)
@@ -178,14 +182,13 @@ class Coder:
         yield from self.all_ids(held)
 
 
-_coders: dict[str, Coder] = {}
+def _key(path: str) -> tuple[str, str]:
+    return "word ids", path
 
 
 def coder(path: str) -> Coder:
-    """One per Python worker and vocabulary."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    """One per Python worker and vocabulary, as long as the worker's tasks cut pieces."""
+    return kept_by_worker(_key(path), lambda: Coder(path))
 
 
 def cut_pieces(df: DataFrame, path: str, how: Packing = Packing(), with_ids: bool = False,
@@ -212,7 +215,8 @@ def cut_pieces(df: DataFrame, path: str, how: Packing = Packing(), with_ids: boo
         return {n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds)}
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return by_batch(texts(df, id_col, text_col), build, schema + (", ids binary" if with_ids else ""))
+    return by_batch(texts(df, id_col, text_col), build, schema + (", ids binary" if with_ids else ""),
+                    CUT_ROWS, _key(path))
 
 
 def _fillings(lengths: list[int], counts: dict[int, int], room: int, most_waste: int, width: int) -> list[tuple]:

@@ -1,11 +1,15 @@
 """What workers of the toxicity stage hold at once."""
 
+import gc
+import os
 import tracemalloc
 from collections import Counter
 
+import public_tokenizers
 import pyarrow as pa
+import pytest
 
-from riskrank.llm import common, toxicity
+from riskrank.llm import common, near_dup, packing, toxicity
 
 
 def test_toxic_ids_are_written_before_the_rows_meet_them(spark):
@@ -56,3 +60,67 @@ def test_traits_of_many_texts_are_counted_without_holding_them_all():
 def test_words_without_weight_share_one_set():
     known = toxicity._Weights(toxicity.Model({}, -6.0), toxicity.Fit())
     assert known["fine"] is known["day"]
+
+
+def test_a_worker_drops_the_vocabulary_when_tasks_of_another_operator_begin(spark):
+    docs = spark.range(0, 400, 1, 8).selectExpr("id AS doc_id", "concat('word', id, ' and more of it') AS text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def coders() -> list[int]:
+        return [sum(type(o).__name__ == "Coder" for o in gc.get_objects())]
+
+    def held(batch):
+        return {"n": coders() * batch.num_rows}
+
+    def built(batch):
+        packing.coder(path)
+        return {"n": coders() * batch.num_rows}
+
+    assert packing.cut_pieces(docs, path).count() == 400
+    assert {r.n for r in common.by_batch(docs, built, "n long", keeps=packing._key(path)).collect()} == {1}
+    assert {r.n for r in common.by_batch(docs, held, "n long").collect()} == {0}
+
+
+def test_only_the_key_at_hand_is_kept(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    one = common.kept_by_worker("one", list)
+    common.forget_others("one")
+    assert common.kept_by_worker("one", list) is one
+    common.forget_others("two")
+    assert common.kept_by_worker("one", list) is not one
+
+
+def test_the_tokenizer_works_on_the_task_s_own_core(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    packing.Coder(public_tokenizers.path("word_bpe_49k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+@pytest.mark.parametrize("operator", ["sketches", "pieces"])
+def test_texts_become_objects_a_thousand_at_a_time(spark, monkeypatch, operator):
+    docs = spark.range(0, 2_500, 1, 1).selectExpr("id AS doc_id", "concat('word', id, ' and more of it') AS text")
+    seen, whole = [], common.by_batch
+    module = near_dup if operator == "sketches" else packing
+
+    def by_batch(df, build, schema, rows=None, *more):
+        seen.append(rows)
+        return whole(df, build, schema, rows, *more)
+
+    monkeypatch.setattr(module, "by_batch", by_batch)
+    made = near_dup.sketches(docs, near_dup.NearDup()) if operator == "sketches" else \
+        packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert made.count() == 2_500 and seen == [1_000]
+
+
+def test_sketches_are_made_of_few_shingles_at_once(monkeypatch):
+    texts = [" ".join(f"w{i * 977 + j}" for j in range(600)) for i in range(1_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1_000)), "text": texts})
+    known = near_dup._Words()
+    tracemalloc.start()
+    made = near_dup._sketch_batch(batch, near_dup.NearDup(), known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    monkeypatch.setattr(near_dup, "CHUNK_SHINGLES", 1 << 21)
+    other = near_dup._sketch_batch(batch, near_dup.NearDup(), near_dup._Words())
+    assert made["keys"].equals(other["keys"]) and (made["print_a"] == other["print_a"]).all()
